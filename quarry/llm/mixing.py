@@ -102,3 +102,19 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
     columns = [F.col("id").alias(id_col), "source", "size", "source_size", "target", "epochs", (F.col("size") * (F.col("epochs") + F.col("extra").cast("long"))).alias("taken"),
                (F.col("epochs") + F.col("extra").cast("long")).alias("copies")]
     return whole.select(columns).union(last.select(columns))
+
+
+def repeated(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; its columns stay as they are.
+
+    Rows without words are taken with their source's epochs. Rows that share id,
+    source and size are told apart by a running number, so that each keeps its own count.
+    """
+    taken = mix(docs, text_col, source_col, id_col, **options).where("copies > 0")
+    counts = taken.groupBy(F.col(id_col).alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.array_sort(F.collect_list("copies")).alias("__copies"))
+    same = Window.partitionBy(id_col, source_col, "__size").orderBy(F.xxhash64(text_col))
+    sized = docs.withColumn("__size", words(F.col(text_col)))
+    joined = sized.join(counts.withColumnRenamed("__size", "__s"), F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__s")))
+    numbered = joined.withColumn("__n", F.when(F.size("__copies") == 1, 1).otherwise(F.row_number().over(same)))
+    times = F.coalesce(F.get("__copies", F.col("__n") - 1), F.lit(0)).cast("int")
+    return numbered.where(times > 0).withColumn("__t", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
