@@ -57,3 +57,5 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_embedding_near_dedup, op3_pii, op5_toxicity, op6_secret_scans, op7_best_fit_packing, op8_html_extraction, op9_mix_sources, op10_nearest_neighbours)}
+
+ORACLE: dict[str, str] = {}
