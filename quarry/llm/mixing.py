@@ -23,6 +23,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 #: A source gives at most so many times its words.
 MOST = 2
+#: Sources up to which their table (some 100 bytes each) is broadcast; beyond, the joins shuffle.
+FEW = 100_000
 #: Documents of a cell of keys, about.
 CELL = 2000
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -84,8 +86,9 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
         F.col("source").alias("s"), "source_size", "target", F.floor(F.try_divide("target", "source_size")).alias("epochs"),
         F.ceil(F.col("n") / CELL).alias("cells")).withColumn("epochs", F.coalesce("epochs", F.lit(0).cast("long"))).withColumn(
             "rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-targets")
+    small = F.broadcast if goal.count() <= FEW else (lambda df: df)
     cell = F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("cells")), F.col("cells") - 1)
-    placed = keyed.join(goal, F.col("source").eqNullSafe(F.col("s"))).withColumn("cell", cell)
+    placed = keyed.join(small(goal), F.col("source").eqNullSafe(F.col("s"))).withColumn("cell", cell)
     totals = placed.groupBy("s", "cell").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     upto = Window.partitionBy("s").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("words").over(upto), F.lit(0).cast("long"))
@@ -94,7 +97,7 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
     # no border: the rest is 0, or ends exactly with a cell
     full = totals.withColumn("before", before).where("before + words <= rest").groupBy(F.col("s").alias("fs")).agg(F.max("cell").alias("full"))
     ends = goal.join(border, F.col("s").eqNullSafe(F.col("bs")), "left").join(full, F.col("s").eqNullSafe(F.col("fs")), "left").select("s", "source_size", "target", "epochs", "rest", "cells", "border", "before", "full")
-    dealt = keyed.join(ends, F.col("source").eqNullSafe(F.col("s"))).withColumn("cell", cell)
+    dealt = keyed.join(small(ends), F.col("source").eqNullSafe(F.col("s"))).withColumn("cell", cell)
     whole = dealt.where("border is null or cell <> border").withColumn("extra", F.coalesce(F.col("cell") <= F.col("full"), F.lit(False)))
     inside = Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     last = dealt.where("cell = border").withColumn("sum", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long"))).withColumn(
