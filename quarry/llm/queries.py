@@ -48,7 +48,7 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +58,25 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_embedding_near_dedup, op3_pii, op5_toxicity, op6_secret_scans, op7_best_fit_packing, op8_html_extraction, op9_mix_sources, op10_nearest_neighbours)}
 
-ORACLE: dict[str, str] = {}
+#: DuckDB SQL of the operators that it can express. Op 2's pairs are exact; its hashing finds them with a chance of 0.9995 each at least.
+ORACLE: dict[str, str] = {
+    "op2_embedding_near_dedup": """with recursive pairs as (select a.vec_id as a, b.vec_id as b from embeddings a, embeddings b
+where a.vec_id <> b.vec_id and list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.95),
+reach as (select vec_id as a, vec_id as b from embeddings union select r.a, p.b from reach r join pairs p on p.a = r.b),
+component as (select a as vec_id, min(b) as component_id from reach group by a),
+links as (select a as vec_id, count(*) as n from pairs group by a)
+select vec_id, cast(coalesce(n, 0) as bigint) as n_links, component_id, vec_id = component_id as kept from component left join links using (vec_id)""",
+    "op9_mix_sources": """with sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as size, coalesce(length(text), 0) as chars from documents),
+keyed as (select *, -ln((('0x' || substr(md5('mix-1:' || doc_id), 1, 13))::bigint::double + 0.5) / 4503599627370496.0)
+/ greatest(0.25, least(1.0, chars / greatest(size, 1) / 4.0, 8.0 / greatest(chars / greatest(size, 1), 0.1))) as key from sized),
+sources as (select source, sum(size)::double as s, row_number() over (order by source nulls last) - 1 as nth from keyed group by source),
+caps as (select *, [3.0, 1.0, 2.0][nth % 3 + 1]::double as w, 2 * s as cap, 2 * s / [3.0, 1.0, 2.0][nth % 3 + 1]::double as full_at from sources),
+levels as (select *, ((select sum(s) from sources) * 1.5 - coalesce(sum(cap) over (order by full_at, nth rows between unbounded preceding and 1 preceding), 0))
+/ sum(w) over (order by full_at, nth rows between current row and unbounded following) as level from caps),
+fit as (select min_by(level, (full_at, nth)) as level from levels where level <= full_at),
+goals as (select source, s, case when f.level is null then cap else least(cap, f.level * w) end as target from levels, fit f),
+ends as (select *, coalesce(floor(target / nullif(s, 0)), 0) as epochs from goals),
+summed as (select k.*, s, target, epochs, target - epochs * s as rest,
+coalesce(sum(size) over (partition by k.source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before from keyed k join ends e on k.source is not distinct from e.source)
+select doc_id, size::bigint as size, s::bigint as source_size, round(target, 6) as target, (size * (epochs + (before + size / 2.0 <= rest)::int))::bigint as taken from summed""",
+}
