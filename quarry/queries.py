@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import payload as P
 from quarry.functions import text as X
-from quarry.operators import chunking, decoders, evaluation, extraction, routing
+from quarry.operators import chunking, decoders, evaluation, extraction, results, routing
 from quarry.plans import validate
 from quarry.sources.files import json_fields
 
@@ -172,6 +172,17 @@ def coerce_schema(spark, sf_dir):
                        F.replace(F.col("m")["note"], F.lit('"'), F.lit("")).alias("note"), F.col("m")["kept"].cast("long").alias("kept"))
 
 
+_ANSWER = case("event_id", ["concat('{\"data\": {\"k\": \"', cast(event_id as varchar(20)), ' pcs\", \"name\": \"', event_type, '\"}}')",
+                            "concat('{\"k\": ', cast(event_id as varchar(20)), '}')", "'7'"])
+
+
+@query("""select event_id, case event_id % 3 when 0 then '{"k":' || event_id || ',"name":"' || event_type || '"}' when 1 then '{"k":' || event_id || '}' end as data,
+case event_id % 3 when 0 then '' when 1 then '$.name: required field missing' else '$: no payload' end as errors, event_id % 3 = 0 as valid from events""")
+def build_results(spark, sf_dir):
+    answers = table(spark, sf_dir, "events").select("event_id", F.expr(_ANSWER.replace("varchar(20)", "string")).alias("answer"))
+    return results.build_results(answers, "answer", SCHEMA).select("event_id", "data", F.array_join("errors", "; ").alias("errors"), "valid")
+
+
 def _turn_results(spark, sf_dir) -> DataFrame:
     """Each turn as a chunk's result of two rows; system turns play the failed chunks."""
     rows = F.format_string('[{"r": "%s", "b": %d}, {"b": %d}]', "role", F.length("text") % 3, F.length("text") % 5)
