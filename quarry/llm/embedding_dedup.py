@@ -3,7 +3,7 @@
 Vectors are normalised; a table's key is K quantised random projections
 floor((a.x + b) / WIDTH). Vectors that share a key in any table are compared
 exactly. A pair that meets in several tables is counted in the first one only,
-as every row carries its keys of all tables. Buckets are dealt as groups; a
+as every row carries its keys of the tables before. Buckets are dealt as groups; a
 bucket over TILE rows becomes a triangle of tiles, so that a hot bucket is
 spread over many tasks. Tasks return counts and a spanning forest of the links,
 never the pairs.
@@ -69,6 +69,12 @@ def pack(vectors: pd.Series) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(at, np.stack([np.asarray(v, np.float64) for v in vectors.iloc[at]])) for d in np.unique(size) if len(at := np.flatnonzero(size == d))]
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of a matrix of doubles scaled to length 1; by their largest component first, so that squares stay finite."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row (id_col, n_links, component_id, kept) for every id.
 
@@ -84,35 +90,37 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     n = valid.count()
     k, tables = design(n, threshold)
     slots = max(1, n * tables // SLOT)
+    # rows carry vectors at the width they came in
+    kind = "f4" if valid.schema["v"].dataType.elementType.typeName() == "float" else "f8"
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at, x in pack(pdf["v"]):
-                x /= np.abs(x).max(axis=1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                keys = bucket_keys(x, k, tables)
-                yield pd.DataFrame({"id": pdf["id"].to_numpy()[at], "x": [r.tobytes() for r in x], "keys": list(keys)})
+                keys = bucket_keys(unit(x), k, tables)
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[at], "x": [r.tobytes() for r in x.astype(kind)], "keys": list(keys)})
 
     rows = stored(valid.mapInPandas(hashed, "id long, x binary, keys array<long>"), "embedding-hashed")
-    placed = rows.select("id", "x", "keys", F.posexplode("keys").alias("t", "key"))
-    sizes = stored(rows.select(F.posexplode("keys").alias("t", "key")).groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1), "embedding-buckets")
+    places = rows.select("id", F.posexplode("keys").alias("t", "key"))
+    sizes = stored(places.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1), "embedding-buckets")
     # buckets of one vector need no task; g parts of a bucket make tiles (i, j), i <= j
-    placed = placed.join(sizes, ["t", "key"]).withColumn("g", F.ceil(F.col("n") / TILE)).withColumn("part", F.pmod(F.xxhash64("id"), F.col("g")))
+    # sizes meet ids and keys only, an id's places (one a table at most) then meet its vector
+    shared = places.join(sizes, ["t", "key"]).groupBy("id").agg(F.collect_list(F.struct("t", "key", "n")).alias("at"))
+    placed = rows.join(shared, "id").select("id", "x", "keys", F.inline("at")).withColumn("g", F.ceil(F.col("n") / TILE)).withColumn("part", F.pmod(F.xxhash64("id"), F.col("g")))
     tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("i"), F.greatest(o, F.col("part")).alias("j")))
     bucket = F.xxhash64("t", "key")
-    placed = placed.select(F.when(F.col("g") > 1, bucket).otherwise(F.pmod(bucket, F.lit(slots))).alias("slot"), F.explode(tiles).alias("tile"), "t", "key", "part", "id", "x", "keys")
+    placed = placed.select(F.when(F.col("g") > 1, bucket).otherwise(F.pmod(bucket, F.lit(slots))).alias("slot"), F.explode(tiles).alias("tile"), "t", "key", "part", "id", "x", F.slice("keys", F.lit(1), F.col("t")).alias("before"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["tile"].iloc[0]["i"]), int(pdf["tile"].iloc[0]["j"])
         t, key, part, ids = (pdf[c].to_numpy() for c in ("t", "key", "part", "id"))
-        keys, xs = np.stack(pdf["keys"]), pdf["x"].to_numpy()
+        before, xs = pdf["before"].to_numpy(), pdf["x"].to_numpy()
         count, union = np.zeros(len(pdf), np.int64), Union(len(pdf))
         order = np.lexsort((key, t))
         ends = np.flatnonzero(np.diff(key[order]) | np.diff(t[order])) + 1
         for rows in np.split(order, ends):
             if len(rows) < 2:
                 continue
-            x = np.frombuffer(b"".join(xs[rows]), np.float64).reshape(len(rows), -1)
+            x, met = unit(np.frombuffer(b"".join(xs[rows]), kind).reshape(len(rows), -1).astype(np.float64)), np.stack(before[rows])
             left, right = np.flatnonzero(part[rows] == i), np.flatnonzero(part[rows] == j)
             for at in range(0, len(left), 256):
                 a = left[at : at + 256]
@@ -121,12 +129,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
                 if i == j:
                     once = p < q
                     p, q = p[once], q[once]
-                p, q = rows[p], rows[q]
-                for earlier in range(int(t[rows[0]])):
+                for earlier in range(met.shape[1]):
                     if not len(p):
                         break
-                    apart = keys[p, earlier] != keys[q, earlier]
+                    apart = met[p, earlier] != met[q, earlier]
                     p, q = p[apart], q[apart]
+                p, q = rows[p], rows[q]
                 if len(p):
                     np.add.at(count, p, 1)
                     np.add.at(count, q, 1)
