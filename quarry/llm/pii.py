@@ -25,6 +25,7 @@ _PATTERNS = {
     "email": rf"(?=[A-Za-z0-9._%+-])(?:(?<!{_EMAIL})|\G){_EMAIL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?=[0-9])(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "grouped": r"(?<![0-9])(?<![0-9A-Z]{4}[\x20-])(?:4[0-9]|5[1-5]|2[2-7]|6[0-9])[0-9]{2}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9]|[\x20-][0-9]{4}(?![0-9]))",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "local": r"(?<![0-9A-Za-z+])\(?0[0-9][\x20()./0-9-]{4,20}[0-9](?![0-9A-Za-z])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
@@ -106,10 +107,10 @@ def spans(text: Column) -> Column:
     """array<struct<kind int, start long, end long, base boolean, score double>> in order of kind and start.
 
     kind indexes KINDS. Base spans pass their pattern and check. The others are
-    added by the method where check and context give CUTOFF: IBANs, cards of 13
-    to 15 digits, national phone numbers and social security numbers near a
-    context word. An added span that overlaps a base span is left out. A null
-    text has none.
+    added by the method where check and context give CUTOFF: IBANs, cards in
+    four groups of four within a longer run of digits, and, near a context word,
+    cards of 13 to 15 digits, national phone numbers and social security numbers.
+    An added span that overlaps a base span is left out. A null text has none.
     """
     text = F.coalesce(text, F.lit(""))
     empty = F.array().cast("array<struct<kind:int,start:bigint,end:bigint,base:boolean,score:double>>")
@@ -130,6 +131,7 @@ def spans(text: Column) -> Column:
         "email": F.when(F.contains(text, F.lit("@")), found("email", lambda m: F.lit(True), 0.5, 0.1)).otherwise(empty),
         "ip": found("ip", octets, 0.4, 0.2),
         "card": found("card", lambda m: F.length(m).between(13, 37) & n(m).between(13, 19) & luhn(digits(m)), 0.4, 0.2, lambda m: n(m) >= 16),
+        "grouped": found("card", lambda m: luhn(digits(m)), 0.6, 0.2, lambda m: F.lit(False), "grouped"),
         "phone": F.when(F.contains(text, F.lit("+")), found("phone", lambda m: n(m).between(8, 15), 0.4, 0.2)).otherwise(empty),
         "local": found("phone", lambda m: n(m).between(8, 13), 0.4, 0.2, lambda m: F.lit(False), "local"),
         "iban": found("iban", mod97, 0.7, 0.2, lambda m: F.lit(False)),
