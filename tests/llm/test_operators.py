@@ -1,5 +1,6 @@
 """Each corpus operator against brute force or a known answer, with nulls, empty and repeated rows, and empty tables."""
 
+import hashlib
 import json
 import math
 import re
@@ -105,6 +106,53 @@ def test_pii(spark):
     assert pii.digest(docs.limit(0)).count() == 0
 
 
+def hashed(spans):
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def test_pii_base_equals_brute_force(spark):
+    def luhn(number):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(number))) % 10 == 0
+
+    bare = lambda m: re.sub("[^0-9]", "", m)
+    rules = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(bare(m)) <= 19 and luhn(bare(m))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(bare(m)) <= 15),
+    }
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in queries.op3_pii(spark, SF).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        base = [(kind, m.start(), m.end()) for kind, (pattern, ok) in rules.items() for m in re.finditer(pattern, text) if ok(m[0])]
+        assert got[i].base_sha256 == hashed(base)
+        assert Counter(k for k, _, _ in base) == Counter({k: n for k in rules if (n := got[i][f"n_{k}"])})
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(got[i].spans.split(",")) | {""}
+
+
+def test_pii_added_cards(spark):
+    rows = [(1, "7 4111 1111 1111 1111 20001"), (2, "7 4111 1111 1111 1112 20001"), (3, "7 4111-1111 1111-1111 20001"), (4, "0000 4111 1111 1111 1111 2000"), (5, "DE89 4111 1111 1111 1111 20001"), (6, "4111 1111 1111 1111")]
+    got = {r.doc_id: r for r in pii.digest(docs_of(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert got[1].spans == "card:2:21" and got[1].n_card == 0 and got[1].base_sha256 == hashed([])
+    assert {got[i].spans for i in (2, 3, 4, 5)} == {""} and (got[6].spans, got[6].n_card) == ("card:0:19", 1)
+
+
+def test_secrets_base_equals_brute_force(spark):
+    rules = {
+        "assign": (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, lambda m: len(m[2]) >= 12),
+        "access": (r"AKIA[A-Z0-9]+", 0, lambda m: len(m[0]) >= 18),
+        "hex": (r"[0-9a-f]+", 0, lambda m: len(m[0]) >= 16),
+    }
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in queries.op6_secret_scans(spark, SF).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        base = [(m.start(), n, kind, m.end()) for n, (kind, (pattern, flags, ok)) in enumerate(rules.items()) for m in re.finditer(pattern, text, flags) if ok(m)]
+        assert got[i].base_sha256 == hashed([(kind, a, b) for a, _, kind, b in sorted(base)])
+        assert {f"{kind}:{a}:{b}" for a, _, kind, b in base} <= set(got[i].spans.split(",")) | {""}
+
+
 def test_toxicity_learns_from_document_labels(spark):
     rng = np.random.default_rng(2)
     words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
