@@ -324,3 +324,43 @@ def test_pipeline_stages(spark):
         assert out.columns == docs.columns, name
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash near-dedup", "pii", "mix", "pack"]
     assert re.match("doc_id", corpus_pipeline.run(spark, SF).columns[0]) and json.dumps(corpus_pipeline.ORACLE_SQL) == "null"
+
+
+def test_pipeline_equals_brute_force(spark):
+    """run() against groups by all pairs, spans cut out of strings and the tokenizer; toxicity and the mix, tested above, come from their operators."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    clean = toxicity.drop_toxic(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")).cache()
+    fps = {r.doc_id: r.fp for r in simhash.near_duplicates(clean).collect()}
+    ids = sorted(fps)
+    bits = np.array([fps[i] for i in ids], np.int64).astype(np.uint64)
+    near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= 4
+    label = components(len(ids), list(zip(*np.nonzero(np.triu(near, 1)))))
+    first = {ids[k] for k in range(len(ids)) if label[k] == k}
+    assert len(first) < len(ids)
+
+    def cut_out(text, spans):
+        out, at = [], 0
+        for a, less, kind in sorted((s.start, -s.end, s.kind) for s in spans):
+            if a >= at:
+                out += [text[at:a], f"[{pii.KINDS[kind].upper()}]"]
+            at = max(at, -less)
+        return "".join(out) + text[at:]
+
+    rows = [r for r in pii.find(clean).collect() if r.doc_id in first]
+    text = {r.doc_id: r.text and cut_out(r.text, r.pii) for r in rows}
+    assert len(text) == len(rows) and any(r.pii for r in rows)
+    mixed = mixing.mix(docs_of(spark, [(r.doc_id, text[r.doc_id], r.source) for r in rows])).collect()
+    t = Tokenizer.from_file(queries.vocabulary())
+    t.encode_special_tokens = True
+    want = Counter()
+    for r in mixed:
+        tokens = np.array(t.encode(text[r.doc_id] or "", add_special_tokens=False).ids + [2], "<u4")
+        for p, (a, n) in enumerate(packing.cut(len(tokens), 1024)):
+            want[(r.doc_id, p, a, n, zlib.crc32(tokens[a : a + n].tobytes()))] += r.taken // r["size"] if r["size"] else 0
+    got = corpus_pipeline.run(spark, SF).collect()
+    sized = {r.doc_id for r in mixed if r["size"]}
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got if r.doc_id in sized) == +want
+    assert {r.doc_id for r in got} <= first
