@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, packing, pii, simhash, toxicity
+from quarry.llm import jaccard, mixing, packing, pii, toxicity
 from quarry.llm.common import stored
 from quarry.llm.queries import vocabulary
 
@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one with the smallest doc_id."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near copies, of five-word shingles at a Jaccard similarity of 0.8: the one with the smallest doc_id."""
+    return jaccard.drop_near_duplicates(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,158 @@
+"""Near-duplicate groups by the Jaccard similarity of word shingles.
+
+Two texts link when the sets of their five-word shingles have a similarity of
+at least 0.8. Bands of min-hashes propose texts, whole shingle sets confirm
+them: with 30 bands of 5 a pair at the threshold meets with a chance of
+1 - (1 - 0.8 ** 5) ** 30 = 0.999993, and more similar pairs more surely, short
+or long. Bands that hold the same texts are compared once, and tasks return
+spanning forests, not pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quarry.llm.common import Union, connected_components, stored
+
+#: Words of a shingle and the similarity that links.
+SHINGLE = 5
+SIMILAR = 0.8
+BANDS = 30
+ROWS = 5
+#: Texts of a bucket that are compared at once; a larger bucket is cut into tiles.
+TILE = 4_096
+#: Texts of a task's group of buckets, about.
+GROUP = 16_384
+_RNG = np.random.default_rng(20101)
+_FACTORS, _SHIFTS = (_RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)[:, None] for _ in range(2))
+_FACTORS = _FACTORS * np.uint64(2) + np.uint64(1)
+_MIX = _RNG.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct XXH64s of a text's shingles; a shorter text is one shingle, one without words none."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    line, n = b" ".join(words), len(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    k = min(size, n)
+    cuts = map(slice, starts[: n - k + 1].tolist(), ends[k - 1 :].tolist())
+    return np.unique(np.fromiter(map(xxh64_intdigest, map(line.__getitem__, cuts), repeat(42)), np.uint64, n - k + 1))
+
+
+def set_hash(found: np.ndarray) -> int:
+    """One signed number for a set of shingles."""
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(found.tobytes()) - 2**63
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """The signed hash of each band of min-hashes of a set."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(found), 4096):
+        np.minimum(least, (found[at : at + 4096] * _FACTORS + _SHIFTS).min(axis=1), out=least)
+    mixed = ((least >> np.uint64(7)).reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64)
+    return (mixed + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, found) -> None:
+    """Call found(i, j) with the members of left and right that link."""
+    size = np.array([len(s) for s in sets])
+    if len(sets) == 2:
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        if both >= SIMILAR * (size.sum() - both) - 1e-9:
+            found(np.array([0]), np.array([1]))
+        return
+    owner = np.repeat(right, size[right])
+    token = np.concatenate([sets[k] for k in right])
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    for i in left.tolist():
+        lo, hi = np.searchsorted(token, sets[i], "left"), np.searchsorted(token, sets[i], "right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        j = np.flatnonzero((both > 0) & (both >= SIMILAR * (size + size[i] - both) - 1e-9))
+        j = j[j != i]
+        found(np.full(len(j), i), j)
+
+
+def links(docs: DataFrame, classes: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """Edges (a, b) between the reps of classes (cls, rep, bands) that span every link found."""
+    met = classes.where("rep is not null").select("cls", F.explode("bands").alias("bucket"))
+    # buckets with the same members are one
+    shared = (met.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
+              .where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / TILE).alias("parts")))
+    members = stored(met.join(shared, "bucket"), "jaccard-members")
+    n = members.count()
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [shingles(t) for t in pdf["text"]]
+            yield pd.DataFrame({"cls": np.array([set_hash(s) for s in found], np.int64), "held": [s.tobytes() for s in found]})
+
+    needed = classes.join(members.select("cls").distinct(), "cls").select(F.col("rep").alias("__rep"))
+    texts = docs.select(F.col(id_col).alias("__rep"), F.col(text_col).alias("text")).join(needed, "__rep", "left_semi").select("text")
+    held = texts.mapInPandas(sets, "cls long, held binary").dropDuplicates(["cls"])
+    # part p of a bucket meets parts q >= p
+    part = F.pmod(F.xxhash64("cls"), F.col("parts"))
+    tiled = (members.join(classes.select("cls", "rep"), "cls").withColumn("part", part)
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+             .select("cls", "rep", "bucket", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")))
+    groups = max(1, -(-n // GROUP))
+    rows = tiled.join(held, "cls").withColumn("group", F.pmod(F.xxhash64("bucket", "p", "q"), F.lit(groups)))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        reps = pdf["rep"].to_numpy(np.int64)
+        found = Union(len(pdf))
+        part, held = pdf["part"].to_numpy(), pdf["held"].to_numpy()
+        for (_, p, q), at in pdf.groupby(["bucket", "p", "q"]).indices.items():
+            linked([np.frombuffer(held[k], np.uint64) for k in at], np.flatnonzero(part[at] == p), np.flatnonzero(part[at] == q), lambda i, j: found.add(at[i], at[j]))
+        label = found.labels()
+        rest = np.flatnonzero(label != np.arange(len(pdf)))
+        return pd.DataFrame({"a": reps[rest], "b": reps[label[rest]]})
+
+    return stored(rows.groupBy("group").applyInPandas(compare, "a long, b long"), "jaccard-edges")
+
+
+def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row (id_col, component_id) per row of docs: the smallest id reachable by links, the row's own included.
+
+    Null, empty and blank texts are copies of each other. Rows that share an id
+    count as one document. A null id keeps its row, with the component of the
+    texts that have the same shingles, null if none of them has an id.
+    """
+
+    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [shingles(t) for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "cls": np.array([set_hash(s) for s in found], np.int64), "bands": [bands(s) if len(s) else np.empty(0, np.int64) for s in found]})
+
+    asked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    hashed = stored(asked.mapInPandas(signed, "id long, cls long, bands array<long>"), "jaccard-sets")
+    classes = stored(hashed.groupBy("cls").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "jaccard-classes")
+    edges = links(docs, classes, text_col, id_col)
+    ids = hashed.select("id", "cls").join(classes.select("cls", "rep"), "cls")
+    several = ids.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    repeated = hashed.where("id is not null").groupBy("id").agg(F.count_distinct("cls").alias("k")).where("k > 1").select(F.col("id").alias("a"))
+    component = connected_components(edges.union(several.join(repeated, "a", "left_semi")), "jaccard-cc")
+    return ids.join(component, ids["rep"] == component["node"], "left").select(F.col("id").alias(id_col), F.coalesce("component", "rep").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """docs with one row of each group of near copies: the row with the smallest id. Rows without an id stay."""
+    groups = near_duplicates(docs, text_col, id_col)
+    kept = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    return (docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
+            .unionByName(docs.where(F.col(id_col).isNull())))

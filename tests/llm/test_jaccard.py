@@ -1,0 +1,47 @@
+"""The pipeline's near-dedup stage against Jaccard similarity over all pairs."""
+
+import numpy as np
+from conftest import SF
+from test_operators import components, docs_of
+
+import corpus_pipeline
+from quarry.llm import jaccard
+
+
+def words(text):
+    w = (text or "").lower().split()
+    k = min(5, len(w))
+    return frozenset(" ".join(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset()
+
+
+def test_stage_equals_brute_force(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").cache()
+    rows = sorted((r.doc_id, words(r.text)) for r in docs.collect())
+    near = [(i, j) for i, (_, a) in enumerate(rows) for j, (_, b) in enumerate(rows[:i]) if len(a & b) >= 0.8 * len(a | b)]
+    label = components(len(rows), near)
+    want = {rows[k][0] for k in range(len(rows)) if label[k] == k}
+    assert {r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, SF).collect()} == want
+    monkeypatch.setattr(jaccard, "GROUP", 64)
+    assert {r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, SF).collect()} == want
+
+
+def test_stage_drops_planted_near_copies(spark):
+    rng, rows = np.random.default_rng(6), []
+    for k in range(120):
+        w = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        rows.append((k, " ".join(w)))
+        for at in (30, 70, 110, 150)[: 1 + k % 4]:
+            w[at] = "changed"
+        rows.append((1000 + k, " ".join(w)))
+    rows += [(2000, None), (2001, " "), (2002, "only three words"), (2003, "Only three  words"), (None, "only three words")]
+    docs = docs_of(spark, [(i, t, "s") for i, t in rows])
+    kept = sorted(r.doc_id or 0 for r in corpus_pipeline.drop_copies(spark, docs, SF).collect())
+    assert kept == sorted([*range(120), 2000, 2002, 0])
+    assert corpus_pipeline.drop_copies(spark, docs.limit(0), SF).count() == 0
+
+
+def test_tiles_find_all_links(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", 8)
+    base = [f"w{x}" for x in range(300)]
+    docs = docs_of(spark, [(k, " ".join(base[:k] + ["other"] + base[k + 1 :]), "s") for k in range(90)])
+    assert {r.component_id for r in jaccard.near_duplicates(docs).collect()} == {0}
