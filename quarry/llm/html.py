@@ -21,9 +21,8 @@ from xxhash import xxh64_intdigest
 
 from quarry.llm.common import stored
 
-#: A subtree is template if it is on so many pages of a host, and on this share of them.
+#: A subtree is template if it is on so many pages of its host, whatever the host's size.
 PAGES = 5
-SHARE = 0.2
 #: Element names by what they do to text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -184,22 +183,25 @@ def host(url: F.Column) -> F.Column:
     return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, hashes): the subtrees that recur on at least PAGES pages and SHARE of the pages of a host.
+def page(html: F.Column) -> F.Column:
+    """The digest that stands for a page's content."""
+    return F.md5(html.cast("binary"))
 
-    No more than 1 / SHARE times the subtrees of a page, whatever the host's size.
-    """
+
+def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, page, hashes): of every distinct page of a host, by its digest, the subtrees that recur on at least PAGES pages of the host."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [sorted(set(subtrees(tree(h.as_py() or "")).values())) for h in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["host", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.int64()))], names=["host", "page", "hashes"])
 
-    held = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where("host is not null and html is not null").mapInArrow(hashed, "host string, hashes array<long>")
+    held = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"), page(F.col(html_col)).alias("page"))
+    held = held.where("host is not null and html is not null").mapInArrow(hashed, "host string, page string, hashes array<long>")
     held = stored(held, "html-subtrees")
-    total = held.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
     counts = held.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("k")).where(F.col("k") >= PAGES)
-    return stored(counts.join(total, "host").where(F.col("k") >= SHARE * F.col("n")).groupBy("host").agg(F.collect_list("hash").alias("hashes")), "html-templates")
+    own = held.dropDuplicates(["host", "page"]).select("host", "page", F.explode("hashes").alias("hash"))
+    return stored(own.join(counts.drop("k"), ["host", "hash"]).groupBy("host", "page").agg(F.collect_list("hash").alias("hashes")), "html-templates")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -209,11 +211,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     with a null URL, or one without a host, have no template. Repeated rows are
     kept, and count as pages of their host.
     """
-    with_host = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(F.col(url_col)).alias("host"))
+    with_host = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(F.col(url_col)).alias("host"), page(F.col(html_col)).alias("page"))
 
     @F.arrow_udf("string")
     def text(html: pa.Array, hashes: pa.Array) -> pa.Array:
         return pa.array([main_text(tree(h.as_py() or ""), set(t.as_py() or ())) for h, t in zip(html, hashes)], pa.string())
 
-    out = with_host.join(templates(pages, url_col, html_col), "host", "left").select("id", "url", text("html", "hashes").alias("text"))
+    out = with_host.join(templates(pages, url_col, html_col), ["host", "page"], "left").select("id", "url", text("html", "hashes").alias("text"))
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
