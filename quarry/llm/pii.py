@@ -20,6 +20,22 @@ CUTOFF = 0.6
 #: Code points before and after a match that count as its context.
 NEAR = 40
 _BLOCK = 256
+#: The lengths of the countries' IBANs.
+_IBANS = {
+    15: "NO", 16: "BE", 18: "DK FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG YE",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """IBANs at the length of their country, whole or in fours; else, of any length, a run or fours with a shorter tail."""
+    fixed = [rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:[A-Z0-9]{{{n - 4}}}|(?:\x20[A-Z0-9]{{4}}){{{n // 4 - 1}}}{rf'\x20[A-Z0-9]{{{n % 4}}}' if n % 4 else ''})" for n, c in _IBANS.items()]
+    any_length = r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join([*fixed, any_length])})(?![A-Za-z0-9])"
+
+
 _EMAIL = r"[A-Za-z0-9._%+-]"
 _PATTERNS = {
     "email": rf"(?=[A-Za-z0-9._%+-])(?:(?<!{_EMAIL})|\G){_EMAIL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -28,7 +44,7 @@ _PATTERNS = {
     "grouped": r"(?<![0-9])(?<![0-9A-Z]{4}[\x20-])(?:4[0-9]|5[1-5]|2[2-7]|6[0-9])[0-9]{2}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9]|[\x20-][0-9]{4}(?![0-9]))",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "local": r"(?<![0-9A-Za-z+])\(?0[0-9][\x20()./0-9-]{4,20}[0-9](?![0-9A-Za-z])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "iban": _iban(),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: Words that make a kind likelier when near.
@@ -79,26 +95,40 @@ def mod97(iban: Column) -> Column:
 
 
 def located(text: Column, pattern: str, valid: Callable[[Column], Column], made: Callable[[Column, Column, Column, Column, Column], Column], empty: Column) -> Column:
-    """made(match, start, end, before, after) of every match of the pattern that is valid, in order."""
-    find = F.lit(pattern)
+    """made(match, start, end, before, after) of every match of the pattern that is valid, in order.
+
+    before and after are the NEAR code points beside the match, other matches
+    among them; a match has two code points at least, so that NEAR / 2 matches
+    and the gaps beside them hold what is needed.
+    """
+    find, most = F.lit(pattern), NEAR // 2
 
     def places(found: Column) -> Column:
         kept = F.filter(F.transform(found, lambda m, i: F.struct(m.alias("m"), i.alias("i"))), lambda c: valid(c["m"]))
         return let(kept, lambda kept: F.when(F.size(kept) == 0, empty).otherwise(let(F.split(text, find, -1), lambda gaps: with_gaps(found, kept, gaps))))
 
+    def before(found: Column, gaps: Column, i: Column) -> Column:
+        first = F.greatest(i - most, F.lit(0))
+        earlier = F.transform(F.slice(found, first + 1, i - first), lambda m, t: F.concat(F.right(F.get(gaps, first + t), F.lit(NEAR)), m))
+        return F.when(F.length(F.get(gaps, i)) >= NEAR, F.right(F.get(gaps, i), F.lit(NEAR))).otherwise(F.right(F.concat(F.array_join(earlier, ""), F.get(gaps, i)), F.lit(NEAR)))
+
+    def after(found: Column, gaps: Column, i: Column) -> Column:
+        later = F.transform(F.slice(found, i + 2, F.lit(most)), lambda m, t: F.concat(m, F.left(F.get(gaps, i + 2 + t), F.lit(NEAR))))
+        return F.when(F.length(F.get(gaps, i + 1)) >= NEAR, F.left(F.get(gaps, i + 1), F.lit(NEAR))).otherwise(F.left(F.concat(F.get(gaps, i + 1), F.array_join(later, "")), F.lit(NEAR)))
+
     def with_gaps(found: Column, kept: Column, gaps: Column) -> Column:
         lengths = F.transform(found, lambda m, i: (F.length(m) + F.length(F.get(gaps, i))).cast("long"))
-        return let(lengths, lambda ls: let(blocks(ls), lambda sums: F.transform(kept, lambda c: spanned(c, gaps, ls, sums))))
+        return let(lengths, lambda ls: let(blocks(ls), lambda sums: F.transform(kept, lambda c: spanned(c, found, gaps, ls, sums))))
 
     def blocks(ls: Column) -> Column:
         n = F.floor(F.size(ls) / _BLOCK).cast("int")
         return F.aggregate(F.slice(F.sequence(F.lit(0), n), F.lit(1), n), F.array(F.lit(0).cast("long")),
                            lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + total(F.slice(ls, b * _BLOCK + 1, F.lit(_BLOCK))))))
 
-    def spanned(c: Column, gaps: Column, ls: Column, sums: Column) -> Column:
+    def spanned(c: Column, found: Column, gaps: Column, ls: Column, sums: Column) -> Column:
         b = F.floor(c["i"] / _BLOCK).cast("int")
         start = F.get(sums, b) + total(F.slice(ls, b * _BLOCK + 1, c["i"] % _BLOCK)) + F.length(F.get(gaps, c["i"]))
-        return let(start, lambda s: made(c["m"], s, s + F.length(c["m"]), F.right(F.get(gaps, c["i"]), F.lit(NEAR)), F.left(F.get(gaps, c["i"] + 1), F.lit(NEAR))))
+        return let(start, lambda s: made(c["m"], s, s + F.length(c["m"]), before(found, gaps, c["i"]), after(found, gaps, c["i"])))
 
     return let(F.regexp_extract_all(text, find, F.lit(0)), lambda found: F.when(F.size(found) == 0, empty).otherwise(places(found)))
 
