@@ -36,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the mixed documents in sequences of 1024 tokens."""
-    return packing.pack_documents(docs, vocabulary())
+    return packing.pack_documents(docs, vocabulary(), added=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("simhash near-dedup", drop_copies), ("pii", redact), ("mix", mix), ("pack", pack)]

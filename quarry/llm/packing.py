@@ -46,16 +46,21 @@ class Encoder:
 
     Text is encoded by space-separated words, which are remembered: a space
     after a character that is not white space always begins a new token. A text
-    with other white space beside a space is encoded as a whole.
+    with other white space beside a space is encoded as a whole. With added, the
+    file's added tokens are cut out of a text first and give their own ids, as
+    the file's tokenizer does by default; else their letters are encoded.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import re
 
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            spec = json.load(f)
+        vocab = spec["model"]["vocab"]
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec.get("added_tokens") or () if added}
+        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         table = byte_table()
         ranks = {bytes(table[c] for c in token): k for token, k in vocab.items() if all(c in table for c in token) and token != "<|endoftext|>"}
         self.bpe = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -75,6 +80,8 @@ class Encoder:
         return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if any(token in text for token in self.added):
+            return b"".join(self.added[part] if part in self.added else self.encode(part) for part in self.parts.split(text))
         first, *rest = text.split(" ")
         if not rest or not first or text[-1] == " " or self.beside.search(text):
             return self.encode(text)
@@ -91,12 +98,12 @@ def cut(ids: int, length: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, length) for at in range(first, ids, length)]
 
 
-def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, text_col: str = "text", id_col: str = "doc_id", added: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32): the pieces of every whole text, null as empty, with the end id."""
     end = np.array([END], "<u4").tobytes()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = Encoder(vocabulary, added)
         for batch in batches:
             rows, out = [], ([], [], [], [])
             for k, text in enumerate(batch.column(1)):
@@ -197,11 +204,12 @@ def pack(items: DataFrame, length: int = LENGTH, part: int = PART) -> DataFrame:
     return out
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, length: int = LENGTH, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, length: int = LENGTH, text_col: str = "text", id_col: str = "doc_id", added: bool = False) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32, sequence_id, offset), one row per piece of every row of docs.
 
     A null or empty text is the end id alone; a repeated row is packed again; a
     null id is kept. Extra columns are ignored. An empty table gives an empty result.
+    With added, the literal of an added token is that token (Encoder).
     """
-    items = stored(pieces(docs, vocabulary, length, text_col, id_col), "pack-pieces")
+    items = stored(pieces(docs, vocabulary, length, text_col, id_col, added), "pack-pieces")
     return pack(items, length).withColumnRenamed("id", id_col)

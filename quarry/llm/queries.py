@@ -44,7 +44,7 @@ def vocabulary() -> str:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), added=True)
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
