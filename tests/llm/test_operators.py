@@ -269,7 +269,7 @@ def test_bounds_and_exchange(spark):
 def test_html(spark):
     page = ("<html><head><title>T</title></head><body><nav>menu</nav><div class='ad'>buy</div><article><h1>Head &amp; x</h1><p>One  two<br>three<b>!</b><p>Next<div class=note2>sub</div>"
             "<ul><li>a<li>b</ul></article><aside>side</aside><footer>f</footer><script>var a='<p>no</p>'</script></body></html>")
-    assert html.main_text(html.tree(page)) == "Head & x\nOne two three!\nNext\nsub\na\nb"
+    assert html.main_text(page) == "Head & x\nOne two three!\nNext\nsub\na\nb"
     body = "<body><div>Site line</div><div id=x><p>Text {k}</p></div><p>Site line</p></body>"
     rows = [(k, f"http://H.example/{k}", body.format(k=k)) for k in range(8)] + [(90, None, None), (91, "http://h.example/9", ""), (92, "http://other.example/", body.format(k=1))]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, host string")
