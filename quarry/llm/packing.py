@@ -4,9 +4,11 @@ Whole texts become token ids; documents longer than a sequence are cut, and the
 rest is bin packing. Items are dealt to partitions, each packs its own by
 best-fit decreasing and holds its bin count against lower bounds from dual
 feasible functions (Fekete & Schepers, 2001). A partition whose count equals a
-bound is certified and done. Partitions with a gap keep their full bins and
-exchange the documents of all others, which are dealt anew over fewer
-partitions and packed again, until one partition is left or all are certified.
+bound is certified. Partitions with a gap keep their full bins and
+exchange the documents of all others, and certified ones those of their emptiest
+bin; these are dealt anew among partitions and packed again, until an exchange
+saves no bin. Partitions hold some PART items in every round, whatever the size
+of the table.
 """
 
 from __future__ import annotations
@@ -25,9 +27,7 @@ from quarry.llm.common import stored
 LENGTH = 1024
 END = 2
 #: Items of a partition, about; its columns take some 40 bytes an item.
-PART = 200_000
-#: Exchanges at most; the partitions of the last are settled as they are.
-ROUNDS = 8
+PART = 10_000
 #: Words an encoder remembers before it starts afresh.
 MEMO = 300_000
 #: Fixed value: the pre-tokenisation pattern of the byte-level vocabulary.
@@ -46,12 +46,12 @@ class Encoder:
 
     Text is encoded by space-separated words, which are remembered: a space
     after a character that is not white space always begins a new token. A text
-    with other white space beside a space is encoded as a whole. With added, the
-    file's added tokens are cut out of a text first and give their own ids, as
-    the file's tokenizer does by default; else their letters are encoded.
+    with other white space beside a space is encoded as a whole. The file's
+    added tokens are cut out of a text first and give their own ids, as the
+    file's tokenizer does by default.
     """
 
-    def __init__(self, path: str, added: bool = False):
+    def __init__(self, path: str):
         import re
 
         import tiktoken
@@ -59,7 +59,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
-        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec.get("added_tokens") or () if added}
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec.get("added_tokens") or ()}
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         table = byte_table()
         ranks = {bytes(table[c] for c in token): k for token, k in vocab.items() if all(c in table for c in token) and token != "<|endoftext|>"}
@@ -98,12 +98,12 @@ def cut(ids: int, length: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, length) for at in range(first, ids, length)]
 
 
-def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, text_col: str = "text", id_col: str = "doc_id", added: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, piece, start, length, ids_crc32): the pieces of every whole text, null as empty, with the end id."""
     end = np.array([END], "<u4").tobytes()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary, added)
+        encoder = Encoder(vocabulary)
         for batch in batches:
             rows, out = [], ([], [], [], [])
             for k, text in enumerate(batch.column(1)):
@@ -165,51 +165,65 @@ def best_fit_decreasing(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.
     return bin_of, offset, np.array(room, np.int64)
 
 
-def fitting(length: int, turn: int, final: bool):
-    """The function that packs one partition; unless final, a gap leaves all but its full bins unsettled."""
+def fitting(length: int, turn: int):
+    """The function that packs one partition: which of its items are settled, and whether its count is certified."""
 
     def fit(key, table):
         sizes = table.column("length").to_numpy()
         bin_of, offset, room = best_fit_decreasing(sizes, length)
         certified = len(room) == lower_bound(np.bincount(sizes, minlength=length + 1))
-        settled = np.ones(len(sizes), bool) if final or certified else room[bin_of] == 0
+        # a certified partition gives its emptiest sequence to the exchange, as others may fill it
+        settled = bin_of != room.argmax() if certified else room[bin_of] == 0
+        first = np.zeros(len(sizes), np.int64)
+        first[np.unique(bin_of, return_index=True)[1]] = 1
         sequence = (turn << 56) + (key[0].as_py() << 32) + bin_of
         return (table.drop_columns(["part"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
-                .append_column("settled", pa.array(settled)))
+                .append_column("certified", pa.array(np.full(len(sizes), certified))).append_column("settled", pa.array(settled)).append_column("opens", pa.array(first)))
 
     return fit
 
 
 def pack(items: DataFrame, length: int = LENGTH, part: int = PART) -> DataFrame:
-    """items (any columns, and length) with sequence_id and offset, as few sequences as the rounds reach."""
+    """items (any columns, and length) with sequence_id, offset and certified.
+
+    certified is true for items of a length, which fill a sequence alone, and
+    for those of partitions packed into as few sequences as their bound allows.
+    At least two partitions exchange, unless there are too few items for two.
+    """
     schema = ", ".join(f"`{n}` {t}" for n, t in items.dtypes)
-    whole = items.where(F.col("length") >= length).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    done, rest, turn = [whole], items.where(F.col("length") < length), 0
+    whole = items.where(F.col("length") >= length).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).withColumn("certified", F.lit(True))
+    done, rest, turn, before, last = [whole], items.where(F.col("length") < length), 0, None, None
     n = rest.count()
     while n:
-        parts = max(1, round(n / part))
-        final = parts == 1 or turn == ROUNDS
+        parts = max(-(-n // part), 2 if turn == 0 and n > 1 else 1)
         # every kind of size in every partition: dealt by the item, not by its size
         dealt = rest.withColumn("part", F.pmod(F.xxhash64(F.lit(turn), *items.columns), F.lit(parts)))
-        packed = dealt.groupBy("part").applyInArrow(fitting(length, turn, final), f"{schema}, sequence_id long, offset long, settled boolean")
+        packed = dealt.groupBy("part").applyInArrow(fitting(length, turn), f"{schema}, sequence_id long, offset long, certified boolean, settled boolean, opens long")
         packed = stored(packed, f"pack-{turn}")
-        done.append(packed.where("settled").drop("settled"))
-        if final:
+        bins, left, open_bins = packed.agg(F.sum("opens"), F.count_if(~F.col("settled")), F.sum(F.when(~F.col("settled"), F.col("opens")))).first()
+        columns = [*items.columns, "sequence_id", "offset", "certified"]
+        if before is not None and bins >= before:
+            # the exchange saved no bin: the packing before it stands
+            done.append(last.select(*columns))
+            break
+        done.append(packed.where("settled").select(*columns))
+        if not left:
             break
-        rest = packed.where("not settled").drop("settled", "sequence_id", "offset")
-        n, turn = rest.count(), turn + 1
+        last, before = packed.where("not settled"), open_bins
+        rest, n, turn = last.select(*items.columns), left, turn + 1
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
     return out
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, length: int = LENGTH, text_col: str = "text", id_col: str = "doc_id", added: bool = False) -> DataFrame:
-    """(id_col, piece, start, length, ids_crc32, sequence_id, offset), one row per piece of every row of docs.
+def pack_documents(docs: DataFrame, vocabulary: str, length: int = LENGTH, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id_col, piece, start, length, ids_crc32, sequence_id, offset, certified), one row per piece of every row of docs.
 
-    A null or empty text is the end id alone; a repeated row is packed again; a
-    null id is kept. Extra columns are ignored. An empty table gives an empty result.
-    With added, the literal of an added token is that token (Encoder).
+    A null or empty text is the end id alone; a repeated row is packed again, so
+    that ties stand in for each other; a null id is kept; a very long text is cut
+    into as many pieces as it takes. Extra columns are ignored, whatever their
+    names. An empty table gives an empty result.
     """
-    items = stored(pieces(docs, vocabulary, length, text_col, id_col, added), "pack-pieces")
+    items = stored(pieces(docs, vocabulary, length, text_col, id_col), "pack-pieces")
     return pack(items, length).withColumnRenamed("id", id_col)

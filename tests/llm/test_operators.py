@@ -241,7 +241,6 @@ def test_packing(spark):
     rows = [(1, "one two three " * 900, "s"), (2, None, "s"), (3, "", "s"), (4, "a  b\n c\t d <|endoftext|> é😀", "s"), (4, "a  b\n c\t d <|endoftext|> é😀", "s"), (None, " lead and trail ", "s"), (6, "x" * 5000, "s")]
     got = packing.pack_documents(docs_of(spark, rows), queries.vocabulary()).collect()
     t = Tokenizer.from_file(queries.vocabulary())
-    t.encode_special_tokens = True
     want = sorted((i or 0, p, a, n, zlib.crc32(ids[a : a + n].tobytes())) for i, x, _ in rows for ids in [np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4")] for p, (a, n) in enumerate(packing.cut(len(ids), 1024)))
     assert sorted((r.doc_id or 0, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
     by = {}
@@ -354,7 +353,6 @@ def test_pipeline_equals_brute_force(spark):
     assert len(text) == len(rows) and any(r.pii for r in rows)
     mixed = mixing.mix(docs_of(spark, [(r.doc_id, text[r.doc_id], r.source) for r in rows])).collect()
     t = Tokenizer.from_file(queries.vocabulary())
-    t.encode_special_tokens = True
     want = Counter()
     for r in mixed:
         tokens = np.array(t.encode(text[r.doc_id] or "", add_special_tokens=False).ids + [2], "<u4")
