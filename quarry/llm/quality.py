@@ -8,8 +8,9 @@ keeping the k largest keys draws k documents without replacement, each draw in
 proportion to the weights (Xie et al. 2023).
 
 The sum over n-grams grows with a text's length, so that a few long documents
-would decide a sample. A document of more than SPAN n-grams stands for SPAN
-average ones of its own: the mean over its whole text, times SPAN.
+would decide a sample. The weight is therefore that of SPAN average n-grams of
+the document, where the average is taken over its whole text and SPAN n-grams
+that say nothing: sum * SPAN / (n + SPAN), one formula for texts of all lengths.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from quarry.llm.toxicity import held_out
 TARGET = 20_000
 #: Buckets of n-grams; a power of two.
 BUCKETS = 1 << 16
-#: n-grams that a long document's weight is scaled to.
+#: n-grams that a document's weight stands for, and n-grams without evidence that its average takes in.
 SPAN = 100
 #: Added to every bucket's count.
 SMOOTHING = 1.0
@@ -116,7 +117,7 @@ def log_weight(text: Column, ratios: np.ndarray) -> Column:
             out = np.zeros(len(texts))
             for k, t in enumerate(texts):
                 if len(found := grams(t)):
-                    out[k] = ratios[found].mean() * min(len(found), SPAN)
+                    out[k] = ratios[found].sum() * (SPAN / (len(found) + SPAN))
             yield pd.Series(out)
 
     return weight(text)

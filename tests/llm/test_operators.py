@@ -189,8 +189,8 @@ def test_importance_weights_equal_brute_force(spark):
     raw, target = Counter(x for f in found.values() for x in f), Counter(x for i, f in found.items() if labelled.get(i) == 1 and not out[i] for x in f)
     n_raw, n_target = sum(raw.values()) + 65536, sum(target.values()) + 65536
     for i, f in found.items():
-        each = sum(math.log((target[x] + 1) / n_target) - math.log((raw[x] + 1) / n_raw) for x in f) / max(len(f), 1)
-        assert math.isclose(got[i].log_weight, each * min(len(f), 100), abs_tol=1e-9)
+        total = sum(math.log((target[x] + 1) / n_target) - math.log((raw[x] + 1) / n_raw) for x in f)
+        assert math.isclose(got[i].log_weight, total * 100 / (len(f) + 100), abs_tol=1e-9)
     train = [q for i, q in labelled.items() if not (zlib.crc32(str(i).encode()) % 4 == 2)]
     assert sum(r.kept for r in got.values()) == round(sum(train) / len(train) * len(texts))
     assert min(r.gumbel_key for r in got.values() if r.kept) > max(r.gumbel_key for r in got.values() if not r.kept)
