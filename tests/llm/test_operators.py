@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from conftest import SF
 from oracle import compare
+from pyspark.sql import functions as F
 
 from quarry.llm import ann, embedding_dedup, html, mixing, packing, pii, quality, queries, secrets, simhash, toxicity
 from quarry.llm.common import connected_components
@@ -82,10 +83,25 @@ def test_embedding_edges(spark):
     got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df).collect()}
     assert {x for x in got if x[1]} == {(1, 1, 1, True), (2, 1, 1, False)} and (None, 0, None, False) in got and len(got) == 10
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+    clash = df.withColumn("id", F.lit("a")).withColumn("keys", F.lit("b")).withColumn("n", F.lit(3))
+    assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(clash).collect()} == got
 
 
-def test_embedding_tiles(spark, monkeypatch):
+def test_embedding_classes_of_equal_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.repeat(rng.normal(size=(3, 16)), 40, axis=0), rng.normal(size=(60, 16))])
+    x[120:125] = x[0] + 0.01 * rng.normal(size=(5, 16))
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    label = components(len(x), list(zip(*np.nonzero(np.triu(near, 1)))))
+    assert {(r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()} == {(k, int(near[k].sum()) - 1, label[k]) for k in range(len(x))}
+
+
+@pytest.mark.parametrize("room", [16_384, 8])
+def test_embedding_tiles(spark, monkeypatch, room):
     monkeypatch.setattr(embedding_dedup, "TILE", 16)
+    monkeypatch.setattr(embedding_dedup, "ROOM", room)
     rng = np.random.default_rng(1)
     x = rng.normal(size=8) + 0.02 * rng.normal(size=(90, 8))
     df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
