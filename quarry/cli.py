@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import benchmark
-from quarry.operators.results import build_results
+from quarry.operators.results import FIELDS, build_results
 from quarry.operators.routing import Router, field_agreement, roster
 from quarry.plans.schema import load_schema
 from quarry.sources.files import json_fields, read_cases, read_documents
@@ -68,8 +68,9 @@ def extract(spark: SparkSession, router: Router, args: argparse.Namespace) -> No
     if failed := found.where("error is not null").select("error").head(1):
         raise RuntimeError(f"All engines failed: {failed[0].error}")
     result = build_results(found.withColumnRenamed("data", "raw"), "raw", schema).first()
-    told = {"data": json.loads(result.data) if result.data else None, "engine_name": result.engine, "schema": schema, "valid": result.valid, "errors": result.errors,
-            "field_confidence": result.field_confidence, "pages": result.pages, "raw": json.loads(result.raw)}
+    parsed = lambda text: None if text is None else json.loads(text)
+    told = {c: parsed(result[c]) if c in ("data", "schema", "raw", "metadata") else result[c] for c in FIELDS} | {"errors": result.errors}
+    told["provenance"] = {k: json.loads(v) for k, v in result.provenance.items()}
     _emit(json.dumps(told, ensure_ascii=False, indent=2), args.out)
 
 
@@ -81,24 +82,26 @@ def compare(spark: SparkSession, router: Router, args: argparse.Namespace) -> No
     for r in results.select("engine", "valid", "data").orderBy("engine").collect():
         print(f"{r.engine}: valid={r.valid} data={r.data}")
     print("\nField agreement")
-    values = json_fields(results, "data", ["doc_id", "engine"]).persist()
+    values = json_fields(results, "data", ["doc_id", "engine"], as_json=True)
     shown = values.groupBy("field").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("engine", "value")))).alias("values"))
     for r in field_agreement(values).join(shown, "field").orderBy("field").collect():
-        print(f"{r.field}: agree={r.agree} values={json.dumps(r['values'], ensure_ascii=False)}")
+        print(f"{r.field}: agree={r.agree} values={json.dumps({e: json.loads(v) for e, v in r['values'].items()}, ensure_ascii=False)}")
+    results.unpersist()
 
 
 def list_engines(router: Router) -> None:
     marks = {"field_confidence": "Conf", "provenance": "Prov", "nested_schemas": "Nest", "batch": "Batch", "local": "Local", "remote": "Remote"}
     print(f"{'Engine':<18}{'Avail':<7}" + "".join(f"{m:<8}" for m in marks.values()) + "Extensions")
     for e in router.engines.values():
-        print(f"{e.name:<18}{e.available!s:<7}" + "".join(f"{'+' if e.capabilities.get(c) else '-':<8}" for c in marks) + ", ".join(sorted(e.extensions)[:SHOWN]))
+        print(f"{e.name:<18}{e.ready()!s:<7}" + "".join(f"{'+' if e.capabilities.get(c) else '-':<8}" for c in marks) + ", ".join(sorted(e.extensions)[:SHOWN]))
 
 
 def run_benchmark(spark: SparkSession, router: Router, args: argparse.Namespace) -> None:
-    report = benchmark.run_benchmark(read_cases(spark, args.dataset), router, args.engines.split(",") if args.engines else None).persist()
+    report = benchmark.run_benchmark(read_cases(spark, args.dataset), router, args.engines.split(",") if args.engines else None)
     if args.out:
         _emit(json.dumps({"rows": [r.asDict() for r in report.orderBy("document", "engine").toLocalIterator()]}, ensure_ascii=False, indent=2), args.out)
     print(benchmark.report_table(report))
+    benchmark.close(report)
 
 
 def main(argv: Sequence[str] | None = None) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,13 +17,18 @@ DATE_FORMATS = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def stripped(s: Column) -> Column:
     """Without white space at either end, as Unicode counts it."""
     return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
 
 
 def normalize_text(s: Column) -> Column:
-    return F.lower(F.regexp_replace(stripped(s), r"(?U)\s+", " "))
+    return F.lower(spaced(s))
 
 
 def numeric(s: Column) -> Column:
@@ -34,11 +41,19 @@ def parse_number(s: Column) -> Column:
     return F.when(s.rlike("[0-9]"), numeric(s))
 
 
-def parse_date(s: Column) -> Column:
-    plain = F.regexp_replace(stripped(s), r"(?U)\s+", " ")
+def spaced(s: Column) -> Column:
+    """Without outer white space, and one space for each white space within."""
+    return F.regexp_replace(stripped(s), r"(?U)\s+", " ")
+
+
+def _dated(plain: Column) -> Column:
     return F.coalesce(*[F.when(plain.rlike(shape), F.try_to_date(plain, form)) for form, shape in DATE_FORMATS])
 
 
+def parse_date(s: Column) -> Column:
+    return let(spaced(s), _dated)
+
+
 def coerce_number(s: Column, integer: bool = False) -> Column:
     """numeric(s), cut to a whole number if integer; null where the text must stay as it is."""
     n = numeric(s)
@@ -53,10 +68,17 @@ def coerce_boolean(s: Column) -> Column:
 def values_match(predicted: Column, gold: Column) -> Column:
     """True if two scalars, as text, name the same date, else the same number, else the same words.
 
-    A missing value equals a missing one only.
+    A missing value equals a missing one only. Equal texts are not read further,
+    others once each.
     """
-    d1, d2, n1, n2 = parse_date(predicted), parse_date(gold), parse_number(predicted), parse_number(gold)
-    same = (F.when(d1.isNotNull() & d2.isNotNull(), d1 == d2)
-            .when(n1.isNotNull() & n2.isNotNull(), F.abs(n1 - n2) < 1e-6)
-            .otherwise(normalize_text(predicted) == normalize_text(gold)))
-    return F.when(predicted.isNull() | gold.isNull(), predicted.isNull() & gold.isNull()).otherwise(same)
+
+    def facts(s: Column) -> Column:
+        return let(spaced(s), lambda t: F.struct(_dated(t).alias("day"), parse_number(t).alias("number"), F.lower(t).alias("words")))
+
+    def same(a: Column, b: Column) -> Column:
+        return (F.when(a["day"].isNotNull() & b["day"].isNotNull(), a["day"] == b["day"])
+                .when(a["number"].isNotNull() & b["number"].isNotNull(), F.abs(a["number"] - b["number"]) < 1e-6)
+                .otherwise(a["words"] == b["words"]))
+
+    read = let(F.struct(facts(predicted).alias("p"), facts(gold).alias("g")), lambda both: same(both["p"], both["g"]))
+    return F.when(predicted.isNull() | gold.isNull(), predicted.isNull() & gold.isNull()).when(predicted == gold, True).otherwise(read)

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Iterator, Mapping
-from typing import Any
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,32 +12,11 @@ from pyspark.sql import functions as F
 
 from quarry.functions import payload as P
 from quarry.operators.evaluation import field_scores
+from quarry.operators.extraction import settled
 from quarry.operators.routing import Router
+from quarry.plans.validate import coerced, violations
 from quarry.sources.files import json_fields
 
-_TESTS = {
-    "object": lambda v: isinstance(v, dict),
-    "array": lambda v: isinstance(v, list),
-    "string": lambda v: isinstance(v, str),
-    "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool),
-    "integer": lambda v: isinstance(v, int) and not isinstance(v, bool),
-    "boolean": lambda v: isinstance(v, bool),
-    "null": lambda v: v is None,
-}
-
-
-def conforms(value: Any, schema: Mapping[str, Any]) -> bool:
-    """True if a value meets a schema; for schemas that come as rows, where plans.validate needs one for all."""
-    names = schema.get("type")
-    names = names if isinstance(names, list) else [names]
-    if not any(n not in _TESTS or _TESTS[n](value) for n in names):
-        return False
-    if isinstance(value, dict):
-        inner = schema.get("properties", {})
-        return all(k in value for k in schema.get("required", ())) and all(conforms(value[k], s) for k, s in inner.items() if k in value)
-    return not isinstance(value, list) or all(conforms(x, schema.get("items") or {}) for x in value)
-
-
 def run_benchmark(cases: DataFrame, router: Router, engines: list[str] | None = None) -> DataFrame:
     """(engine, document, field_accuracy, f1, schema_compliance, latency_ms, cost_usd), one row per case and engine.
 
@@ -56,7 +34,7 @@ def run_benchmark(cases: DataFrame, router: Router, engines: list[str] | None =
             out = []
             for name, text, schema, gold, engine in zip(pdf["name"], pdf["text"], pdf["schema"], pdf["gold"], pdf["engine"]):
                 began = time.perf_counter()
-                found = chosen[engine].run(text, json.loads(schema))
+                found = settled(chosen[engine].run(text, json.loads(schema)))
                 told = found.get("metadata") if isinstance(found, dict) and isinstance(found.get("metadata"), dict) else {}
                 took = told.get("processing_time_ms") or int((time.perf_counter() - began) * 1000)
                 out.append((name, engine, json.dumps(found, ensure_ascii=False), schema, gold, took, float(told.get("cost_usd", 0.0))))
@@ -64,17 +42,29 @@ def run_benchmark(cases: DataFrame, router: Router, engines: list[str] | None =
 
     ran = pairs.repartition("name", "engine").mapInPandas(each, "name string, engine string, raw string, schema string, gold string, latency_ms long, cost_usd double")
 
-    @F.pandas_udf("double")
-    def compliance(data: pd.Series, schema: pd.Series) -> pd.Series:
-        return pd.Series([float(conforms(json.loads(d), json.loads(s))) for d, s in zip(data, schema)])
-
-    # engines cost money: their answers are kept, not asked for again by each use
-    kept = ran.withColumn("data", F.coalesce(P.normalize_envelopes(F.col("raw")), F.lit("{}"))).withColumn("schema_compliance", compliance("data", "schema")).persist()
+    @F.pandas_udf("data string, schema_compliance double")
+    def checked(data: pd.Series, schema: pd.Series) -> pd.DataFrame:
+        rows = []
+        for d, rule in zip(data, map(json.loads, schema)):
+            value = coerced(json.loads(d), rule)
+            rows.append((json.dumps(value, ensure_ascii=False), float(not violations(value, rule))))
+        return pd.DataFrame(rows, columns=["data", "schema_compliance"])
+
+    # engines cost money: their answers are held, not asked for again by each use, until the caller clears them
+    asked = ran.withColumn("data", F.coalesce(P.normalize_envelopes(F.col("raw")), F.lit("{}")))
+    kept = asked.withColumn("checked", checked("data", "schema")).select("name", "engine", "gold", "latency_ms", "cost_usd", "checked.*").persist()
     keys = ["name", "engine"]
-    scored = field_scores(json_fields(kept, "data", keys), json_fields(kept, "gold", keys), keys)
+    scored = field_scores(json_fields(kept, "data", keys), json_fields(kept, "gold", keys), keys, nested=True)
     # without fields on either side there is nothing to score
     full = lambda c: F.coalesce(c, F.lit(1.0)).alias(c)
-    return kept.join(scored, keys, "left").select("engine", F.col("name").alias("document"), full("field_accuracy"), full("f1"), "schema_compliance", "latency_ms", "cost_usd")
+    out = kept.join(scored, keys, "left").select("engine", F.col("name").alias("document"), full("field_accuracy"), full("f1"), "schema_compliance", "latency_ms", "cost_usd")
+    out.answers = kept
+    return out
+
+
+def close(report: DataFrame) -> None:
+    """Let go of the answers that a report of run_benchmark holds."""
+    report.answers.unpersist()
 
 
 def report_table(report: DataFrame) -> str:

@@ -1,11 +1,12 @@
-"""Provider payloads to (field, value, confidence) rows."""
+"""Provider payloads to (field, value, confidence, provenance) rows; provenance is a JSON text, null where a field says nothing of it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.payload import field, kind
+from quarry.functions.payload import field, kind, members_json
+from quarry.functions.text import let
 
 
 def _number(v):
@@ -13,7 +14,8 @@ def _number(v):
 
 
 def _text(v):
-    return F.when(kind(v) == "string", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
+    """The text of a variant, JSON for objects and lists; JSON null is null."""
+    return let(kind(v), lambda k: F.when(k == "string", F.try_variant_get(v, "$", "string")).when(k != "null", F.to_json(v)))
 
 
 def decode_fields(df: DataFrame, payload: str, key: str) -> DataFrame:
@@ -21,7 +23,8 @@ def decode_fields(df: DataFrame, payload: str, key: str) -> DataFrame:
     fields = field(F.try_parse_json(payload), "fields").try_cast("map<string,variant>")
     at = df.select(key, F.explode(fields).alias("field", "v"))
     is_object = kind(F.col("v")) == "object"
-    return at.select(key, "field", _text(F.when(is_object, field(F.col("v"), "value")).otherwise(F.col("v"))).alias("value"), F.when(is_object, _number(field(F.col("v"), "confidence"))).alias("confidence"))
+    return at.select(key, "field", _text(F.when(is_object, field(F.col("v"), "value")).otherwise(F.col("v"))).alias("value"), F.when(is_object, _number(field(F.col("v"), "confidence"))).alias("confidence"),
+                     members_json(F.col("v"), ("value", "confidence")).alias("provenance"))
 
 
 def decode_entities(df: DataFrame, payload: str, key: str) -> DataFrame:
@@ -29,9 +32,10 @@ def decode_entities(df: DataFrame, payload: str, key: str) -> DataFrame:
     entities = field(F.try_parse_json(payload), "entities").try_cast("array<variant>")
     at = df.select(key, F.posexplode(entities).alias("pos", "v"))
     value = F.coalesce(*[field(F.col("v"), n) for n in ("normalized_value", "mention_text", "value")])
-    name = F.coalesce(field(F.col("v"), "type"), field(F.col("v"), "name"))
-    rows = at.select(key, "pos", _text(name).alias("field"), _text(value).alias("value"), _number(field(F.col("v"), "confidence")).alias("confidence"))
-    return rows.where("field is not null").groupBy(key, "field").agg(F.max_by(F.struct("value", "confidence"), "pos").alias("r")).select(key, "field", "r.value", "r.confidence")
+    said = lambda n: F.nullif(_text(field(F.col("v"), n)), F.lit(""))
+    rows = at.select(key, "pos", F.coalesce(said("type"), said("name")).alias("field"), _text(value).alias("value"), _number(field(F.col("v"), "confidence")).alias("confidence"),
+                     members_json(F.col("v"), ("type", "name", "mention_text", "normalized_value", "value", "confidence")).alias("provenance"))
+    return _last(rows, key)
 
 
 def decode_blocks(df: DataFrame, payload: str, key: str) -> DataFrame:
@@ -41,11 +45,18 @@ def decode_blocks(df: DataFrame, payload: str, key: str) -> DataFrame:
     get = lambda path, to: F.try_variant_get(v, path, to)
     rows = (df.select(key, F.posexplode(blocks).alias("pos", "v")).where(get("$.BlockType", "string") == "QUERY_RESULT")
             .select(key, "pos", F.coalesce(get("$.Query.Alias", "string"), get("$.Alias", "string")).alias("field"), F.coalesce(get("$.Text", "string"), F.lit("")).alias("value"),
-                    F.round(get("$.Confidence", "double") / 100, 4).alias("confidence")))
-    return rows.where("field is not null").groupBy(key, "field").agg(F.max_by(F.struct("value", "confidence"), "pos").alias("r")).select(key, "field", "r.value", "r.confidence")
+                    F.round(get("$.Confidence", "double") / 100, 4).alias("confidence"),
+                    F.to_json(F.struct(get("$.Page", "int").alias("page"), get("$.Id", "string").alias("block_id")), {"ignoreNullFields": "false"}).alias("provenance")))
+    return _last(rows, key)
+
+
+def _last(rows: DataFrame, key: str) -> DataFrame:
+    """The last row by pos of every field."""
+    last = rows.where("field <> ''").groupBy(key, "field").agg(F.max_by(F.struct("value", "confidence", "provenance"), "pos").alias("r"))
+    return last.select(key, "field", "r.value", "r.confidence", "r.provenance")
 
 
 def page_count(payload, path: str = "$.pages"):
     """The page count of a payload, if it is a whole number."""
     v = F.try_variant_get(F.try_parse_json(payload), path, "variant")
-    return F.when(kind(v) == "integer", F.try_variant_get(v, "$", "int"))
+    return let(v, lambda v: F.when(kind(v) == "integer", F.try_variant_get(v, "$", "int")))

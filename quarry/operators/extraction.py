@@ -2,31 +2,51 @@
 
 from __future__ import annotations
 
+import asyncio
+import hashlib
+import inspect
 import json
 import tempfile
 import time
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.payload import canonical_json, digest
+from quarry.functions.payload import canonical, canonical_rows, digest
+from quarry.operators.chunking import resolve_chunks
+from quarry.plans import validate
+from quarry.plans.schema import row_schema, rows_wrapper
 
 #: What an extractor is given and returns: a text and keywords, and rows (list of dicts) or {"rows": [...]}.
 Extractor = Callable[..., object]
 
 
+def settled(value: Any) -> Any:
+    """The value, or what it comes to if it is awaitable."""
+    if not inspect.isawaitable(value):
+        return value
+
+    async def wait() -> Any:
+        return await value
+
+    return asyncio.run(wait())
+
+
 def call(extractor: Extractor, text: str, **context) -> list:
-    """The rows an extractor returns; an extractor with extract_file only gets the text as a file."""
+    """The rows an extractor returns, plain or awaitable; one with extract_file only gets the text as a file and must take txt."""
     if hasattr(extractor, "extract_file"):
+        if "txt" not in getattr(extractor, "extensions", ("txt",)):
+            raise ValueError("The extractor takes neither text nor txt files")
         with tempfile.TemporaryDirectory() as folder:
             path = Path(folder) / "input.txt"
             path.write_text(text, encoding="utf-8")
-            found = extractor.extract_file(str(path), **context)
+            found = settled(extractor.extract_file(str(path), **context))
     else:
-        found = extractor(text, **context)
+        found = settled(extractor(text, **context))
     rows = found.get("rows") if isinstance(found, dict) else found
     if not isinstance(rows, list):
         raise ValueError("Extraction expected a list of rows or an object with a 'rows' list")
@@ -42,7 +62,7 @@ def _attempt(extractor: Extractor, text: str, **context) -> tuple:
         rows = json.dumps(call(extractor, text, **context), ensure_ascii=False)
         return rows, None, None, int((time.perf_counter() - began) * 1000)
     except Exception as e:  # a chunk's failure is data
-        return None, type(e).__name__, str(e), 0
+        return None, type(e).__name__, str(e), int((time.perf_counter() - began) * 1000)
 
 
 def extract_chunks(chunks: DataFrame, extractor: Extractor, key: str = "doc_id", sequential: bool = False) -> DataFrame:
@@ -62,15 +82,12 @@ def extract_chunks(chunks: DataFrame, extractor: Extractor, key: str = "doc_id",
 
         return chosen.mapInPandas(each, f"{key} {kinds[key]}, idx int, {_OUT}")
 
-    import hashlib
-
     def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
         out, previous = [], None
         for text in (pdf := pdf.sort_values("idx"))["chunk"]:
             out.append(_attempt(extractor, text, previous_digest=previous))
             if out[-1][0] is not None:
-                plain = json.dumps(json.loads(out[-1][0]), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-                previous = hashlib.sha256(plain.encode()).hexdigest()
+                previous = hashlib.sha256(canonical(json.loads(out[-1][0])).encode()).hexdigest()
         made = pd.DataFrame(out, columns=["rows", "error_type", "error", "processing_time_ms"])
         return pd.concat([pdf[[key, "idx"]].reset_index(drop=True), made], axis=1)
 
@@ -79,8 +96,7 @@ def extract_chunks(chunks: DataFrame, extractor: Extractor, key: str = "doc_id",
 
 def explode_rows(results: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, idx, pos, row_key): every row returned, with its canonical JSON."""
-    rows = F.try_parse_json("rows").try_cast("array<variant>")
-    return results.where("rows is not null").select(key, "idx", F.posexplode(rows).alias("pos", "v")).select(key, "idx", "pos", canonical_json(F.to_json("v")).alias("row_key"))
+    return results.where("rows is not null").select(key, "idx", canonical_rows("rows").alias("keys")).select(key, "idx", F.posexplode("keys").alias("pos", "row_key"))
 
 
 def first_wins(rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -125,3 +141,53 @@ def collected_rows(results: DataFrame, key: str = "doc_id") -> DataFrame:
 def require_success(results: DataFrame) -> DataFrame:
     """results, failing when read if a chunk failed."""
     return results.withColumn("error", F.when(F.col("rows").isNull(), F.raise_error(F.concat_ws(": ", "error_type", "error"))).otherwise(F.col("error")))
+
+
+def extract_rows(docs: DataFrame, schema: Any, extractor: Extractor, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, data, errors, valid, error_type, error, processing_time_ms, metadata): the rows of every whole text.
+
+    schema is a JSON Schema or a template of rows; data is {"rows": [...]} and
+    is validated against the schema's wrapper. metadata holds the row schema and
+    the fields that are computed later.
+    """
+    row, computed = row_schema(schema)
+    found = extract_chunks(docs.select(key, F.lit(0).alias("idx"), F.col(text).alias("chunk")), extractor, key)
+    return _validated(found.drop("idx").withColumn("data", F.concat(F.lit('{"rows": '), F.col("rows"), F.lit("}"))).drop("rows"), row).withColumn("metadata", F.lit(_metadata(row, computed)))
+
+
+def _metadata(row: dict, computed: dict) -> str:
+    return json.dumps({"row_schema": row, "schema_conversion": {"computed_fields": computed}}, ensure_ascii=False)
+
+
+def _validated(df: DataFrame, row: dict) -> DataFrame:
+    """df with errors and valid of its column data against the wrapper of a row schema; null data is not valid."""
+    parsed = df.withColumn("__v", F.try_parse_json("data"))
+    checked = parsed.withColumn("errors", F.when(F.col("data").isNotNull(), validate.errors(F.col("__v"), rows_wrapper(row)))).drop("__v")
+    return checked.withColumn("valid", F.coalesce(F.size("errors") == 0, F.lit(False)))
+
+
+def extract_rows_chunked(docs: DataFrame, schema: Any, extractor: Extractor, text: str = "text", key: str = "doc_id", engine_name: str = "", chunks: DataFrame | None = None,
+                         max_chars: int | None = None, overlap: int = 0, sequential: bool = False, continue_on_error: bool = True) -> DataFrame:
+    """One result a document: (key, data, errors, valid, engine_name, metadata, and the counters of document_report).
+
+    data holds the rows of all chunks, the first of equal ones only. A result is
+    valid if its rows are and no chunk failed. metadata is a JSON text of the row
+    schema and of the chunks in order: status, rows returned and added,
+    duplicates, validity, engine, digest before, error. Without continue_on_error the first
+    failure fails the run.
+    """
+    row, computed = row_schema(schema)
+    results = extract_chunks(resolve_chunks(docs, text, chunks, max_chars, overlap), extractor, key, sequential)
+    if not continue_on_error:
+        results = require_success(results)
+    results = results.persist()  # calls cost money: each is made once, while its answer is held
+    rows = collected_rows(results, key).withColumn("data", F.concat(F.lit('{"rows":['), F.array_join("rows", ","), F.lit("]}"))).drop("rows")
+    each = chunk_report(results, key).join(digest_chain(results, key).select(key, "idx", "previous_digest", "processing_time_ms",
+        F.concat(F.lit('{"rows": '), F.col("rows"), F.lit("}")).alias("data")), [key, "idx"])
+    each = _validated(each, row).withColumn("engine_name", F.lit(engine_name))
+    told = F.struct("idx", "status", "rows_returned", "rows_added", "duplicates_removed", "valid", "engine_name", "previous_digest", "error_type", "error")
+    listed = each.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(told))).alias("chunks"))
+    out = document_report(results, key).join(rows, key, "left").join(listed, key).withColumn("data", F.coalesce("data", F.lit('{"rows":[]}')))
+    out = _validated(out, row).withColumn("valid", F.col("valid") & ~F.col("partial")).withColumn("engine_name", F.lit(engine_name))
+    head = _metadata(row, computed)[:-1]
+    return out.withColumn("metadata", F.concat(F.lit(head + ', "chunks": '), F.col("chunks"), F.lit("}"))).drop("chunks")

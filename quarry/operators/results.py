@@ -1,34 +1,47 @@
-"""Extraction results: envelope, coercion, validation and confidences of a payload column."""
+"""Extraction results: envelope, coercion, validation, confidences and provenance of a payload column."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import payload as P
 from quarry.operators.decoders import page_count
 from quarry.plans import validate
 
-
-def object_json(members: Column) -> Column:
-    """A map<string, string> of names to JSON texts as the JSON text of one object."""
-    name = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"(?s)^\[(.*)\]$", 1)
-    pairs = F.transform(F.map_entries(members), lambda e: F.concat(name(e["key"]), F.lit(":"), e["value"]))
-    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+#: The columns of a result, in order.
+FIELDS = ("data", "engine_name", "schema", "field_confidence", "provenance", "valid", "raw", "metadata", "pages", "processing_time_ms")
 
 
 def build_results(df: DataFrame, payload: str, schema: Mapping[str, Any]) -> DataFrame:
-    """df with data (JSON text), errors, valid, field_confidence and pages of a JSON payload column.
+    """df with the result row of a JSON payload column: FIELDS, and errors.
 
     Envelopes are taken off, text is coerced to the type of its top-level field,
     and what comes out is validated. A payload that holds no object or list has
-    null data and is not valid.
+    null data and is not valid. data, schema, raw and metadata are JSON texts;
+    metadata is the payload's own. engine_name and processing_time_ms are those
+    of df's columns of these names or engine, else null.
     """
-    bare = F.try_parse_json(P.normalize_envelopes(F.col(payload)))
-    with_data = df.withColumn("data", object_json(validate.coerce(bare, schema)))
-    errors = F.when(F.col("data").isNull(), F.array(F.lit("$: no payload"))).otherwise(validate.errors(F.try_parse_json("data"), schema))
-    return with_data.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0).withColumn(
-        "field_confidence", P.confidences(F.col(payload))).withColumn("pages", page_count(F.col(payload)))
+    took = [c for c in ("engine_name", "engine") if c in df.columns][:1]
+    bare = df.withColumn("__data", P.normalize_envelopes(F.col(payload)))
+    data = bare.withColumn("data", validate.coerce_json(F.col("__data"), schema)).withColumn("__v", F.try_parse_json("data"))
+    checked = data.withColumn("errors", F.when(F.col("data").isNull(), F.array(F.lit("$: no payload"))).otherwise(validate.errors(F.col("__v"), schema)))
+    told = checked.withColumns({
+        "valid": F.size("errors") == 0, "schema": F.lit(json.dumps(schema, ensure_ascii=False)), "raw": F.col(payload),
+        "field_confidence": P.confidences(F.col(payload)), "provenance": P.provenance(F.col(payload)), "pages": page_count(F.col(payload)),
+        "metadata": F.get_json_object(payload, "$.metadata"), "engine_name": F.col(took[0]) if took else F.lit(None).cast("string"),
+    })
+    if "processing_time_ms" not in df.columns:
+        told = told.withColumn("processing_time_ms", F.lit(None).cast("long"))
+    return told.drop("__data", "__v")
+
+
+def result_json():
+    """The result row as the JSON text of one object with FIELDS as keys; data, schema, raw and metadata stay JSON within."""
+    nested = {"data", "schema", "raw", "metadata"}
+    shown = [F.try_parse_json(c).alias(c) if c in nested else F.col(c) for c in FIELDS]
+    return F.to_json(F.struct(*shown), {"ignoreNullFields": "false"})

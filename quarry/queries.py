@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions import payload as P
 from quarry.functions import text as X
-from quarry.operators import chunking, decoders, evaluation, extraction, results, routing
-from quarry.plans import validate
+from quarry.functions.compare import json_alignment, json_match
+from quarry.operators import chunking, decoders, engines, evaluation, extraction, results, routing, runner
+from quarry.plans import schema, validate
 from quarry.sources.files import json_fields
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,10 +133,11 @@ def parse_fenced_payload(spark, sf_dir):
 
 _SHAPES = ["concat('[', props, ']')", "concat('{\"rows\": [', props, '], \"n\": 1}')", "'{\"fields\": {\"k\": {\"value\": 7, \"confidence\": 0.5}}}'", "concat('{\"data\": ', props, '}')",
            "concat('{\"result\": [', props, ']}')", "concat('{\"extraction\": {\"rows\": [', props, ']}}')", "props", "'{\"fields\": {}}'", "'5'"]
+_SEVEN, _NONE = "'{\"k\":7}'", "'{}'"
 _ONE, _ROWS = "concat('{\"k\":', props->>'$.k', '}')", "concat('{\"rows\":[{\"k\":', props->>'$.k', '}]}')"
 
 
-@query(f"select event_id, {case('event_id', [_ROWS, _ROWS, '''{\"k\":7}'''.join(chr(39) * 2), _ONE, _ROWS, _ROWS, _ONE, chr(39) + '{}' + chr(39), 'null'])} as data from events")
+@query(f"select event_id, {case('event_id', [_ROWS, _ROWS, _SEVEN, _ONE, _ROWS, _ROWS, _ONE, _NONE, 'null'])} as data from events")
 def normalize_envelopes(spark, sf_dir):
     shaped = table(spark, sf_dir, "events").select("event_id", F.expr(case("event_id", _SHAPES)).alias("payload"))
     return shaped.select("event_id", P.normalize_envelopes(F.col("payload")).alias("data"))
@@ -280,16 +282,17 @@ def _router() -> routing.Router:
     return routing.Router(engines)
 
 
+_FIRST_ENGINES = ["'provider_router'", "'provider_router'", "'lift'", "null"]
 _EXT = case("doc_id", ["'txt'", "'html'", "'pdf'", "'xyz'"])
 
 
-@query(f"select doc_id, {_EXT} as ext, {case('doc_id', [chr(39) + 'provider_router' + chr(39)] * 2 + [chr(39) + 'lift' + chr(39), 'null'])} as engine from documents")
+@query(f"select doc_id, {_EXT} as ext, {case('doc_id', _FIRST_ENGINES)} as engine from documents")
 def route_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_EXT).alias("ext"))
     return _router().route(docs).select("doc_id", "ext", F.get("engines", F.lit(0)).alias("engine"))
 
 
-_CHAINS = ["'provider_router>nuextract>llm_structured>converted_llm>instructor>fenic>lift>llamaextract'", "'provider_router>llm_structured>converted_llm>instructor>fenic'".replace(">instructor", ""),
+_CHAINS = ["'provider_router>nuextract>llm_structured>converted_llm>instructor>fenic>lift>llamaextract'", "'provider_router>llm_structured>converted_llm>fenic'",
            "'lift>llm_structured>converted_llm>llamaextract>azure_docint>google_docai>textract>nuextract>instructor'", "''"]
 
 
@@ -307,23 +310,25 @@ def compare_agreement(spark, sf_dir):
     return routing.field_agreement(values, key="event_id")
 
 
-@query("select user_id, event_type as field, arg_max(cast(event_id as varchar), event_id) as value, cast(0.5 as double) as confidence from events group by user_id, event_type")
+@query("""select user_id, event_type as field, arg_max(cast(event_id as varchar), event_id) as value, cast(0.5 as double) as confidence, '{"event_id":' || max(event_id) || '}' as provenance
+from events group by user_id, event_type""")
 def decode_entities(spark, sf_dir):
     entity = F.struct("event_id", F.col("event_type").alias("type"), F.lit("no").alias("value"), F.col("event_id").alias("normalized_value"), F.lit(0.5).alias("confidence"))
     docs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(entity)).alias("entities"))).alias("payload"))
     return decoders.decode_entities(docs, "payload", "user_id")
 
 
-@query("""select event_id, 'k' as field, props->>'$.k' as value, cast(0.25 as double) as confidence from events
-union all select event_id, 't', event_type, null from events""")
+@query("""select event_id, 'k' as field, props->>'$.k' as value, cast(0.25 as double) as confidence, '{"page":' || (event_id % 9) || '}' as provenance from events
+union all select event_id, 't', event_type, null, null from events union all select event_id, 'z', null, null, null from events""")
 def decode_fields(spark, sf_dir):
-    text = F.concat(F.lit('{"pages": 2, "fields": {"k": {"value": '), F.get_json_object("props", "$.k"), F.lit(', "confidence": 0.25}, "t": "'), F.col("event_type"), F.lit('"}}'))
+    text = F.concat(F.lit('{"pages": 2, "fields": {"k": {"value": '), F.get_json_object("props", "$.k"), F.lit(', "confidence": 0.25, "page": '), (F.col("event_id") % 9).cast("string"), F.lit('}, "t": "'),
+                    F.col("event_type"), F.lit('", "z": {"value": null}}}'))
     return decoders.decode_fields(table(spark, sf_dir, "events").select("event_id", text.alias("payload")), "payload", "event_id")
 
 
-@query("select event_id, 'k' as field, props->>'$.k' as value, cast(0.875 as double) as confidence from events")
+@query("""select event_id, 'k' as field, props->>'$.k' as value, cast(0.875 as double) as confidence, '{"page":2,"block_id":"b"}' as provenance from events""")
 def decode_blocks(spark, sf_dir):
-    text = F.concat(F.lit('{"Blocks": [{"BlockType": "PAGE"}, {"BlockType": "QUERY_RESULT", "Text": "old", "Query": {"Alias": "k"}}, {"BlockType": "QUERY_RESULT", "Query": {"Alias": "k"}, "Confidence": 87.5, "Text": "'),
+    text = F.concat(F.lit('{"Blocks": [{"BlockType": "PAGE"}, {"BlockType": "QUERY_RESULT", "Text": "old", "Query": {"Alias": "k"}}, {"BlockType": "QUERY_RESULT", "Query": {"Alias": "k"}, "Confidence": 87.5, "Page": 2, "Id": "b", "Text": "'),
                     F.get_json_object("props", "$.k"), F.lit('"}]}'))
     return decoders.decode_blocks(table(spark, sf_dir, "events").select("event_id", text.alias("payload")), "payload", "event_id")
 
@@ -331,3 +336,211 @@ def decode_blocks(spark, sf_dir):
 @query("select event_id, 'k' as field, props->>'$.k' as value from events")
 def json_fields_rows(spark, sf_dir):
     return json_fields(table(spark, sf_dir, "events"), "props", ["event_id"])
+
+
+# What follows was added later: rows that differ by a fraction, routes without a key, whole results, nested values and engines from functions.
+
+
+@query("""select event_id, pos, row_key, is_first from (select event_id, 0 as pos, '{"a":' || event_id || '.0}' as row_key, true as is_first from events
+union all select event_id, 1, '{"a":' || event_id || '}', true from events union all select event_id, 2, '{"a":' || event_id || '}', false from events)""")
+def row_keys_of_floats(spark, sf_dir):
+    rows = F.format_string('[{"a": %d.0}, {"a": %d}, {"a" : %d}]', "event_id", "event_id", "event_id")
+    results = table(spark, sf_dir, "events").select("event_id", F.lit(0).alias("idx"), rows.alias("rows"))
+    return extraction.first_wins(extraction.explode_rows(results, "event_id"), "event_id").select("event_id", "pos", "row_key", "is_first")
+
+
+_ALL = "lift>provider_router>llm_structured>converted_llm>llamaextract>azure_docint>google_docai>textract>nuextract>instructor>fenic"
+
+
+@query(f"select doc_id, '{_ALL}' as engines from documents")
+def route_empty_extension(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr("if(doc_id % 2 = 0, '', null)").alias("ext"))
+    return _router().route(docs).select("doc_id", F.array_join("engines", ">").alias("engines"))
+
+
+def _failing(text: str, schema: dict) -> dict:
+    raise RuntimeError("down")
+
+
+def _measuring(text: str, schema: dict) -> dict:
+    if len(text) % 2:
+        raise ValueError("odd")
+    return {"data": {"n": len(text)}, "metadata": {"cost": 1}}
+
+
+def _stub_router() -> routing.Router:
+    return routing.Router([routing.Engine("lift", ("txt",), _failing), routing.Engine("fenic", ("txt",), _measuring), routing.Engine("textract", ("txt",), None, lambda: False)])
+
+
+@query("""select doc_id, case when length(text) % 2 = 0 then 'fenic' end as engine, case when length(text) % 2 = 0 then '{"data": {"n": ' || length(text) || '}, "metadata": {"cost": 1}}' end as data,
+case when length(text) % 2 = 0 then '' else 'fenic: odd; lift: down' end as attempts, case when length(text) % 2 = 1 then 'fenic: odd; lift: down' end as error
+from (select * from documents union all select * from documents)""")
+def route_repeated_ids(spark, sf_dir):
+    """Fallback over documents that all come twice: every row has its own result."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit("txt").alias("ext"))
+    found = _stub_router().extract(docs.union(docs), {})
+    return found.select("doc_id", "engine", "data", F.array_join(F.array_sort("attempts"), "; ").alias("attempts"), F.when(F.col("error").isNotNull(), F.array_join(F.array_sort("attempts"), "; ")).alias("error"))
+
+
+@query("""select count(*) as total, count(*) filter (where length(text) % 2 = 0) as succeeded, count(*) filter (where length(text) % 2 = 1) as failed,
+round((count(*) filter (where length(text) % 2 = 0))::double / count(*), 9) as success_rate from documents""")
+def batch_summary(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    summary = routing.batch_summary(_stub_router().extract(docs, {}, hint="fenic", concurrency=3))
+    return summary.select("total", "succeeded", "failed", F.round("success_rate", 9).alias("success_rate"))
+
+
+@query("""select doc_id, 'fenic' as engine, '{"data": {"n": ' || length(text) || '}, "metadata": {"cost": 1}}' as data from documents where length(text) % 2 = 0""")
+def compare_engines(spark, sf_dir):
+    """Every named engine on every document; what fails is left out."""
+    return _stub_router().compare(table(spark, sf_dir, "documents").select("doc_id", "text"), {}, ["lift", "fenic", "textract"])
+
+
+@query("""select * from (values ('lift', 8, 'field_confidence,nested_schemas,provenance,remote'), ('nuextract', 9, 'batch,local,nested_schemas'), ('provider_router', 5, 'batch,nested_schemas,remote'),
+('llm_structured', 10, 'batch,nested_schemas,remote'), ('instructor', 9, 'batch,nested_schemas,remote'), ('fenic', 5, 'batch,nested_schemas,remote'), ('llamaextract', 8, 'batch,nested_schemas,remote'),
+('azure_docint', 8, 'field_confidence,provenance,remote'), ('google_docai', 9, 'field_confidence,nested_schemas,provenance,remote'), ('textract', 6, 'field_confidence,provenance,remote'),
+('converted_llm', 10, 'batch,nested_schemas,remote')) t(name, n_extensions, capabilities)""")
+def list_engines(spark, sf_dir):
+    engines = _router().list_engines(spark)
+    able = F.array_sort(F.map_keys(F.map_filter("capabilities", lambda _, v: v)))
+    return engines.select("name", F.size("extensions").alias("n_extensions"), F.array_join(able, ",").alias("capabilities"))
+
+
+_PAYLOAD = case("event_id", ["concat('{\"data\": {\"k\": \"', cast(event_id as varchar(20)), ' pcs\", \"name\": \"a\"}, \"field_confidence\": {\"k\": 0.5, \"name\": \"no\"}, \"provenance\": {\"k\": {\"page\": 2}}, \"pages\": 3, \"metadata\": {\"cost\":1}}')",
+                             "'{\"fields\": {\"k\": {\"value\": 1.0, \"confidence\": 0.25, \"page\": 7}, \"name\": {\"value\": \"b\"}}, \"pages\": \"3\"}'"])
+
+
+@query("""select event_id, 'fenic' as engine_name, case event_id % 2 when 0 then '{"k":' || event_id || ',"name":"a"}' else '{"k":1.0,"name":"b"}' end as data, event_id % 2 = 0 as valid,
+case event_id % 2 when 0 then '' else '$.k: expected integer, got float' end as errors, case event_id % 2 when 0 then 'k=0.5' else 'k=0.25' end as confidence,
+case event_id % 2 when 0 then 'k={"page":2}' else 'k={"page":7}' end as provenance, case event_id % 2 when 0 then 3 end as pages, case event_id % 2 when 0 then '{"cost":1}' end as metadata, 'object' as schema_type from events""")
+def result_rows(spark, sf_dir):
+    """The whole result of a payload: data, validity, confidences, provenance, pages, metadata, engine and schema."""
+    answers = table(spark, sf_dir, "events").select("event_id", F.lit("fenic").alias("engine_name"), F.expr(_PAYLOAD.replace("varchar(20)", "string")).alias("answer"))
+    rows = results.build_results(answers, "answer", SCHEMA)
+    shown = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return rows.select("event_id", "engine_name", "data", "valid", F.array_join("errors", "; ").alias("errors"), shown("field_confidence").alias("confidence"), shown("provenance").alias("provenance"), "pages", "metadata",
+                       F.get_json_object("schema", "$.type").alias("schema_type"))
+
+
+_NESTED = [("'{\"a\": \"$1,250.00\", \"b\": [1, 2]}'", "'{\"a\": 1250, \"b\": [\"1\", 2.0]}'", "true"), ("'{\"a\": 1, \"x\": 2}'", "'{\"a\": 1}'", "true"), ("'{\"a\": 1}'", "'{\"a\": 1, \"x\": 2}'", "false"), ("'[1, 2]'", "'[1, 2, 3]'", "false"),
+           ("'{\"d\": {\"on\": \"January 5, 2024\"}}'", "'{\"d\": {\"on\": \"2024-01-05\"}}'", "true"), ("'[[\"a\"], {}]'", "'[[\"A \"], {}]'", "true"), ("'{\"a\": 1}'", "'{}'", "false"), ("'\"INV-1\"'", "'\"ABC-1\"'", "true")]
+
+
+@query(f"select event_id, {case('event_id', [w for _, _, w in _NESTED])} as matches from events")
+def nested_value_match(spark, sf_dir):
+    p, g = (F.expr(case("event_id", [x[k] for x in _NESTED])) for k in (0, 1))
+    pairs = table(spark, sf_dir, "events").select("event_id", p.alias("p"), g.alias("g"))
+    return pairs.select("event_id", json_match("p", "g").alias("matches"))
+
+
+@query("select event_id, case event_id % 4 when 0 then 0.75 when 1 then 0.5 when 2 then 1.0 else 0.0 end::double as alignment from events")
+def scalar_array_alignment(spark, sf_dir):
+    shapes = [("[{\"a\": 1, \"b\": 2}, {\"a\": 3, \"b\": 9}]", "[{\"a\": 1, \"b\": 2}, {\"a\": 3, \"b\": 4}]"), ("[1, 2, 3, 4]", "[1, 2]"), ("[]", "[]"), ("[1]", "[]")]
+    p, g = (F.expr(case("event_id", [f"'{x[k]}'" for x in shapes])) for k in (0, 1))
+    return table(spark, sf_dir, "events").select("event_id", p.alias("p"), g.alias("g")).select("event_id", json_alignment("p", "g").alias("alignment"))
+
+
+def _word_rows(text: str, **_) -> list[dict]:
+    return [{"n": len(text)}, {"n": len(text), "half": len(text) / 2 if len(text) % 3 else None}]
+
+
+@query("""select doc_id, '{"rows": [{"n": ' || length(text) || '}, {"n": ' || length(text) || ', "half": ' || case when length(text) % 3 = 0 then 'null' else printf('%.1f', length(text) / 2) end || '}]}' as data,
+length(text) % 3 <> 0 as valid, case when length(text) % 3 = 0 then '$.rows[1].half: expected number, got NoneType' else '' end as errors from documents""")
+def extract_rows_validated(spark, sf_dir):
+    """Rows of whole texts against a template: n is required, half is a number, and a computed field is in no schema."""
+    template = [{"n": {"type": "integer", "required": True}, "half": {"sample": 1.5}, "later": {"computed": True}}]
+    found = extraction.extract_rows(table(spark, sf_dir, "documents"), template, _word_rows)
+    return found.select("doc_id", "data", "valid", F.array_join("errors", "; ").alias("errors"))
+
+
+def _even_rows(text: str, **_) -> list[dict]:
+    if len(text) < 200:
+        raise ValueError("short")
+    return [{"n": len(text)}]
+
+
+@query(f"""select doc_id, bool_and(length(chunk) >= 200) as valid, count(*) as total_chunks, count(*) filter (where length(chunk) < 200) as failed_chunks,
+cast(count(distinct case when length(chunk) >= 200 then length(chunk) end) as bigint) as rows_extracted, cast(count(*) as bigint) as chunks_told, 'lift' as engine_name from ({_WINDOWS}) group by doc_id""")
+def chunked_results(spark, sf_dir):
+    """Chunked extraction to one validated result a document; chunks under 200 characters fail."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = extraction.extract_rows_chunked(docs, [{"n": 1}], _even_rows, engine_name="lift", max_chars=1000, overlap=100)
+    told = F.size(F.from_json(F.get_json_object("metadata", "$.chunks"), "array<string>")).cast("long")
+    return found.select("doc_id", "valid", "total_chunks", "failed_chunks", "rows_extracted", told.alias("chunks_told"), "engine_name")
+
+
+@query("""select user_id, cast(st // 4 as int) as idx, '[' || string_agg('{"e": ' || event_id || ', "t": "' || event_type || '"}', ', ' order by pos) || ']' as chunk
+from (select *, unnest(range(0, greatest(n - 1, 1), 4)) as st from (select *, row_number() over (partition by user_id order by event_id) - 1 as pos, count(*) over (partition by user_id) as n from events))
+where pos between st and st + 4 group by 1, 2, st""")
+def chunk_rows_text(spark, sf_dir):
+    """Windows over an array of rows, each as the JSON text of its rows."""
+    arrays = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("e"), F.col("event_type").alias("t")))).alias("rows"))
+    return arrays.transform(chunking.chunk_array("rows", max_rows=5, overlap=1)).select("user_id", "idx", "chunk")
+
+
+@query("""select doc_id, sha256('{"text":"' || chunk || '","index":' || (start // 40) || ',"start":' || start || ',"end":' || least(start + 50, n) || ',"strategy":"text","overlap":' || (case when start = 0 then 0 else 10 end) || ',"metadata":{"unit":"char"}}') as chunk_sha256
+from (select doc_id, n, st as start, substring(t, st + 1, 50) as chunk from (select doc_id, t, length(t) as n, unnest(range(0, greatest(length(t) - 10, 1), 40)) as st from (select doc_id, regexp_replace(text, '[^a-z ]', '', 'g') as t from documents) where length(t) > 0))""")
+def chunks_as_json(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^a-z ]", "").alias("t"))
+    return docs.transform(chunking.chunk_text("t", max_chars=50, overlap=10)).select("doc_id", F.sha2(chunking.chunk_json(), 256).alias("chunk_sha256"))
+
+
+@query("""select event_id, case event_id % 5 when 3 then null when 4 then null else props end as object, case event_id % 5 when 4 then concat('[', props, ',', props, ']') end as list from events""")
+def parse_object_and_array(spark, sf_dir):
+    answers = table(spark, sf_dir, "events").select("event_id", F.expr(_ANSWERS).alias("answer"))
+    return answers.select("event_id", P.parse_object(F.col("answer")).alias("object"), P.parse_array(F.col("answer")).alias("list"))
+
+
+@query("select 'OBJECT<k: BIGINT>' as shape, count(*) as n from events")
+def infer_schema_of_rows(spark, sf_dir):
+    return table(spark, sf_dir, "events").agg(F.schema_of_variant_agg(F.try_parse_json("props")).alias("shape"), F.count("*").alias("n"))
+
+
+@query("""select event_id, cast(props->>'$.k' as bigint) as k, 'x' as name, cast(null as double) as score, 2 as n_tags from events""")
+def typed_rows(spark, sf_dir):
+    """JSON read by the Spark type of a schema: unions by their first member that is not null, lists of text without items."""
+    kind = schema.spark_type({"type": "object", "required": ["k"], "properties": {"k": {"type": ["null", "integer"]}, "name": {}, "score": {"type": "number"}, "tags": {"type": "array"}}})
+    text = F.concat(F.lit('{"name": "x", "tags": ["a", "b"], "k": '), F.get_json_object("props", "$.k"), F.lit("}"))
+    return table(spark, sf_dir, "events").select("event_id", F.from_json(text, kind).alias("r")).select("event_id", "r.k", "r.name", "r.score", F.size("r.tags").alias("n_tags"))
+
+
+@query("""select concat('engine', event_id % 2) as engine, cast(event_id as varchar) as document, case event_id % 2 when 0 then 1.0 else 0.5 end::double as field_accuracy, case event_id % 2 when 0 then 0.0 else 0.5 end::double as hallucination_rate,
+case event_id % 3 when 0 then 1.0 else 0.5 end::double as type_correctness from events""")
+def evaluation_scores(spark, sf_dir):
+    """The runner's scores of pairs with nested values; two documents of three have a schema of their own."""
+    shape = F.when(F.col("event_id") % 3 != 0, F.lit('{"properties": {"a": {"type": "string"}, "k": {"type": "string"}}}'))
+    shape = F.when((F.col("event_id") % 2 == 1) & shape.isNotNull(), F.lit('{"properties": {"a": {"type": "string"}, "wrong": {"type": "integer"}}}')).otherwise(shape)
+    predicted = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"a": {"x": [1, "2"]}, "k": "'), F.get_json_object("props", "$.k"), F.lit('"}'))).otherwise(F.lit('{"a": {"x": [1, 2, 3], "y": 0}, "wrong": 1}'))
+    gold = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"a": {"x": ["1", 2]}, "k": '), F.get_json_object("props", "$.k"), F.lit("}"))).otherwise(F.lit('{"a": {"x": [1, 2, 3]}, "k": 1}'))
+    pairs = table(spark, sf_dir, "events").select(F.concat(F.lit("engine"), (F.col("event_id") % 2).cast("string")).alias("engine"), F.col("event_id").cast("string").alias("name"), predicted.alias("predicted"), gold.alias("gold"), shape.alias("schema"))
+    return runner.score_pairs(pairs).select("engine", "document", "field_accuracy", "hallucination_rate", "type_correctness")
+
+
+def _provider(*, prompt: str, model: str, **_) -> dict:
+    return {"result": {"prompt_length": len(prompt)}, "usage": {"model": model}, "metadata": {"usage": "old", "kept": True}}
+
+
+@query("""select doc_id, '{"prompt_length":' || (length('Extract structured data from the source text. Return only JSON that conforms to this JSON Schema.') + 2 + length('Schema:') + 1 + length('{"type": "object"}') + 2 + length('Source text:') + 1 + length(text)) || '}' as data,
+'{"provider":"p","model":"m","usage":{"model":"m"},"kept":true}' as metadata, true as valid from documents""")
+def extract_by_provider(spark, sf_dir):
+    """The engine of an injected provider's call, through prompt, payload and metadata to the result."""
+    router = routing.Router([engines.provider_engine(_provider, "p", "m")])
+    found = router.extract(table(spark, sf_dir, "documents").select("doc_id", "text"), {"type": "object"}, hint="provider_router")
+    return results.build_results(found.withColumnRenamed("data", "answer"), "answer", {"type": "object"}).select("doc_id", "data", "metadata", "valid")
+
+
+def _dotted(document: str) -> str:
+    return document + "."
+
+
+async def _counted(text: str, schema: dict) -> dict:
+    return {"data": {"n": len(text)}, "metadata": {"own": 1}}
+
+
+@query("""select doc_id, length(text) + 1 as n, length(text) + 1 as content_length, 'fenic' as inner_engine, 1 as own from documents""")
+def extract_converted(spark, sf_dir):
+    """The composite engine: a converter, then another engine that answers later."""
+    made = engines.composite_engine(_dotted, routing.Engine("fenic", ("txt",), _counted))
+    found = routing.Router([made]).extract(table(spark, sf_dir, "documents").select("doc_id", "text"), {}, hint="converted_llm")
+    number = lambda path: F.get_json_object("data", path).cast("long")
+    return found.select("doc_id", number("$.data.n").alias("n"), number("$.metadata.content_length").alias("content_length"), F.get_json_object("data", "$.metadata.llm_engine").alias("inner_engine"), F.get_json_object("data", "$.metadata.own").cast("int").alias("own"))

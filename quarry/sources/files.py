@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.payload import parse_object
+
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, ext, text) of files, bad UTF-8 bytes left out."""
@@ -44,11 +46,18 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return part("schema").join(part("gold"), "name").join(first, "name")
 
 
-def json_fields(df: DataFrame, payload: str, keys: list[str]) -> DataFrame:
-    """(*keys, field, value) of the members of a JSON object column, strings without quotes."""
+def json_fields(df: DataFrame, payload: str, keys: list[str], as_json: bool = False) -> DataFrame:
+    """(*keys, field, value) of the members of a JSON object column, strings without quotes unless as_json; JSON null is null."""
     members = F.try_parse_json(payload).try_cast("map<string,variant>")
     at = df.select(*keys, F.explode(members).alias("field", "v"))
-    return at.select(*keys, "field", F.try_variant_get("v", F.lit("$"), "string").alias("value"))
+    value = F.to_json("v") if as_json else F.try_variant_get("v", F.lit("$"), "string")
+    return at.select(*keys, "field", value.alias("value"))
+
+
+def require_object(text: str) -> Column:
+    """A JSON text that must be an object: an error for any other."""
+    found = parse_object(F.col(text))
+    return F.coalesce(F.when(found == F.trim(text), found), F.when(F.col(text).isNotNull(), F.raise_error(F.concat(F.lit("Expected a JSON object: "), F.left(F.col(text), F.lit(80))))))
 
 
 def write_results(df: DataFrame, path: str, form: str = "json") -> None:

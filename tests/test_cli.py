@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry import cli
 from quarry.operators import benchmark, results
 from quarry.operators.routing import Engine, Router
+from quarry.plans.validate import violations
 from quarry.sources.files import read_cases
 
 INVOICE = {"type": "object", "required": ["invoice_id", "total"], "properties": {"invoice_id": {"type": "string"}, "total": {"type": "number"}, "paid": {"type": "boolean"}}}
@@ -65,7 +66,7 @@ def test_benchmark(spark, stub, invoice, capsys):
     cli.main(["benchmark", str(invoice), "--out", str(invoice / "report")])
     rows = {r["engine"]: r for r in json.loads((invoice / "report").read_text())["rows"]}
     assert set(rows) == {"one", "two"} and rows["one"]["f1"] == 1.0 and rows["one"]["latency_ms"] == 7 and rows["one"]["cost_usd"] == 0.01
-    assert rows["two"]["field_accuracy"] == 0.5 and rows["two"]["schema_compliance"] == 1.0 and rows["one"]["schema_compliance"] == 0.0
+    assert rows["two"]["field_accuracy"] == 0.5 and rows["two"]["schema_compliance"] == rows["one"]["schema_compliance"] == 1.0
     assert "0.0100" in capsys.readouterr().out
 
 
@@ -88,6 +89,7 @@ def test_results(spark):
     assert results.build_results(df.where(F.lit(False)), "p", INVOICE).count() == 0
 
 
-def test_conforms():
-    assert benchmark.conforms({"invoice_id": "a", "total": 1}, INVOICE) and not benchmark.conforms({"invoice_id": "a", "total": True}, INVOICE)
-    assert not benchmark.conforms([], INVOICE) and benchmark.conforms([1, None], {"type": "array", "items": {"type": ["integer", "null"]}})
+def test_violations():
+    assert not violations({"invoice_id": "a", "total": 1}, INVOICE) and violations({"invoice_id": "a", "total": True}, INVOICE) == ["$.total: expected number, got bool"]
+    assert violations([], INVOICE) and not violations([1, None], {"type": "array", "items": {"type": ["integer", "null"]}})
+    assert violations(5, {"properties": {}}) == ["$: expected object, got int"] and not violations([1], {"type": ["array", "null"], "items": {"type": "string"}})
