@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -11,22 +13,43 @@ from pyspark.sql import functions as F
 
 _written: list[str] = []
 _local_root: list[str] = []
+_marked: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Where neither is set, a temporary folder will do if executors are threads of
+    the driver; on a cluster, where each would write to its own disk, it is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _local_root:
         _local_root.append(tempfile.mkdtemp(prefix="quarry-"))
     return "file://" + _local_root[0]
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: a cut in the lineage that outlives executors."""
+    """df written as Parquet in the shared folder and read again: a cut in the lineage that outlives executors.
+
+    The application's folder is deleted when it ends, and before by scratch or release.
+    """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_root(spark)}/quarry-{spark.sparkContext.applicationId}"
+    if folder not in _marked:
+        _marked.add(folder)
+        system, at = _file_system(spark, folder)
+        system.mkdirs(at)
+        system.deleteOnExit(at)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -34,22 +57,50 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    _written.remove(path)
+    system, at = _file_system(spark, path)
+    system.delete(at, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a stored table that nothing reads any more."""
-    path = getattr(df, "quarry_path", None)
-    if path in _written:
-        _written.remove(path)
-        jvm = df.sparkSession._jvm
-        hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every stored table of this process; results that still read them must be written first."""
-    for path in list(_written):
-        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-        _written.remove(path)
+    if (path := getattr(df, "quarry_path", None)) in _written:
+        _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession, keep: Iterable[str] = ()) -> None:
+    """Delete every stored table of this process but those to keep; results that still read them must be written first."""
+    for path in [p for p in _written if p not in set(keep)]:
+        _delete(spark, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """with scratch(spark): what operators store within is deleted at the end; write results before."""
+    before = list(_written)
+    try:
+        yield
+    finally:
+        release(spark, before)
+
+
+def unused(columns: Iterable[str], name: str) -> str:
+    """The name, with underscores before it until no column has it, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id is the component_id of groups (id_col, component_id), one an id: the one with the least hash of all columns; and those without an id."""
+    kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
+    rows = docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
+    if not docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+        columns = [F.col(f"`{c}`") for c in docs.columns]
+        rows = rows.groupBy(F.col(id_col).alias("__kept")).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("__row")).select("__row.*")
+    return rows.unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

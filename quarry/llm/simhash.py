@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Union, connected_components, stored
+from quarry.llm.common import Union, connected_components, first_of_groups, stored
 
 #: Blocks of the 64 bits; with 4 bits allowed, three blocks leave a radius of 1.
 BLOCKS = 3
@@ -211,15 +211,17 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     Null, empty and blank texts have fingerprint 0 and link like any other. Rows
     that share an id count as one document, joined through the id. A null id
     keeps its row; it takes the component of its fingerprint's class, null if no
-    row of the class has an id. Empty input gives an empty result.
+    row of the class has an id. Very long texts are read whole. Empty input
+    gives an empty result.
     """
     fps = stored(fingerprints(docs, text_col, id_col, shingle), "simhash-fps")
     classes = stored(fps.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-classes")
     edges = links(classes, max_bits)
     # an id with several texts joins the classes of all of them
-    several = fps.join(classes, "fp").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    repeated = fps.where("id is not null").groupBy("id").agg(F.count_distinct("fp").alias("k")).where("k > 1").select(F.col("id").alias("a"))
-    component = connected_components(edges.union(several.join(repeated, "a", "left_semi")), "simhash-cc")
+    repeated = fps.where("id is not null").groupBy("id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("id")
+    if not repeated.isEmpty():
+        edges = edges.union(fps.join(repeated, "id", "left_semi").join(classes, "fp").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    component = connected_components(edges, "simhash-cc")
     grouped = classes.join(component, classes["rep"] == component["node"], "left").select(
         "fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(grouped, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
@@ -230,8 +232,5 @@ def hex_fingerprint(fp) -> F.Column:
 
 
 def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_bits: int = 4) -> DataFrame:
-    """docs with one row of each near-duplicate group: the row with the smallest id. Rows without an id stay."""
-    groups = near_duplicates(docs, text_col, id_col, max_bits)
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return (docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-            .unionByName(docs.where(F.col(id_col).isNull())))
+    """docs with one row of each near-duplicate group: a row of the smallest id, of several the one with the least hash. Rows without an id stay."""
+    return first_of_groups(docs, near_duplicates(docs, text_col, id_col, max_bits), id_col)
