@@ -9,33 +9,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import jaccard, mixing, packing, pii, toxicity
-from quarry.llm.common import stored
+from quarry.llm import copies, mixing, packing, pii, toxicity
+from quarry.llm.common import discard, stored
 from quarry.llm.queries import vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents under the toxicity cutoff; the model learns from those of docs that labels covers."""
+    """Documents under the toxicity cutoff; the model learns from those of docs that labels covers.
+
+    Null and empty texts score 0 and stay, as do all repeated rows of a clean text.
+    """
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, of five-word shingles at a Jaccard similarity of 0.8: the one with the smallest doc_id."""
-    return jaccard.drop_near_duplicates(docs)
+    """One document of each group of near copies, of five-word shingles at a Jaccard similarity of 0.8: the one with the smallest doc_id.
+
+    SimHash trees propose, whole texts confirm. Null, empty and blank texts are
+    copies of each other; of repeated rows one stays; rows without a doc_id stay.
+    """
+    return copies.drop_near_duplicates(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind and n_chars counted anew."""
+    """All documents, with personal data replaced by its kind and n_chars counted anew; null and empty texts stay as they are, with null and 0 characters."""
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of its source takes it."""
+    """Every document as often as the mix of its source takes it, null sources among them; texts without words as often as their source's epochs."""
     return mixing.repeated(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the mixed documents in sequences of 1024 tokens."""
+    """The pieces of the mixed documents in sequences of 1024 tokens; a null or empty text is the end id alone, each repetition packed again."""
     return packing.pack_documents(docs, vocabulary())
 
 
@@ -46,10 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over documents."""
+    """The rows of the last stage over documents, of any columns beside theirs too; no documents give no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stored(docs, f"pipeline-{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
