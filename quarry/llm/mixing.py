@@ -108,16 +108,24 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
 
 
 def repeated(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; its columns stay as they are.
+    """The rows of docs, each as often as the mix takes it; its columns stay as they are, whatever they are called.
 
     Rows without words are taken with their source's epochs. Rows that share id,
-    source and size are told apart by a running number, so that each keeps its own count.
+    source and size tie, and the mix takes them equally often but where a budget
+    ends among them, at most once a source: there a running number in order of
+    their texts' hashes says which are taken once more. Very long texts count
+    whole. An empty table gives an empty result.
     """
-    taken = mix(docs, text_col, source_col, id_col, **options).where("copies > 0")
-    counts = taken.groupBy(F.col(id_col).alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.array_sort(F.collect_list("copies")).alias("__copies"))
-    same = Window.partitionBy(id_col, source_col, "__size").orderBy(F.xxhash64(text_col))
-    sized = docs.withColumn("__size", words(F.col(text_col)))
-    joined = sized.join(counts.withColumnRenamed("__size", "__s"), F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__s")))
-    numbered = joined.withColumn("__n", F.when(F.size("__copies") == 1, 1).otherwise(F.row_number().over(same)))
-    times = F.coalesce(F.get("__copies", F.col("__n") - 1), F.lit(0)).cast("int")
-    return numbered.where(times > 0).withColumn("__t", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    taken = mix(docs, text_col, source_col, id_col, **options)
+    # of each tie only the counts, which are two at most
+    counts = taken.groupBy(F.col(id_col).alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__s")).agg(
+        F.min("copies").alias("__low"), F.max("copies").alias("__high"), F.sum("copies").alias("__sum"), F.count("*").alias("__n"))
+    counts = counts.where("__high > 0").withColumn("__more", F.when(F.col("__high") > F.col("__low"), F.expr("(__sum - __low * __n) div (__high - __low)")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    sized = docs.select(F.struct(*columns).alias("__row"), F.col(id_col).alias("__i"), F.col(source_col).alias("__src"), words(F.col(text_col)).alias("__size"), F.xxhash64(text_col).alias("__hash"))
+    joined = sized.join(counts, F.col("__i").eqNullSafe(F.col("__id")) & F.col("__src").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__s")))
+    same = Window.partitionBy("__id", "__source", "__s").orderBy("__hash")
+    split = joined.where("__more is not null").withColumn("__times", F.when(F.row_number().over(same) <= F.col("__more"), F.col("__high")).otherwise(F.col("__low")))
+    plain = joined.where("__more is null").withColumn("__times", F.col("__high"))
+    every = plain.unionByName(split).where("__times > 0")
+    return every.withColumn("__t", F.explode(F.array_repeat(F.lit(0), F.col("__times").cast("int")))).select("__row.*")

@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import unused
+
 #: Kinds in order; the first four have base spans.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 #: Score that a span needs.
@@ -157,8 +159,8 @@ def spans(text: Column) -> Column:
         return F.forall(F.split(m, r"\."), lambda p: let(F.regexp_replace(p, "^0+", ""), lambda q: (F.length(q) < 3) | ((F.length(q) == 3) & (q <= "255"))))
 
     n = lambda m: F.length(digits(m))
-    listed = {
-        "email": F.when(F.contains(text, F.lit("@")), found("email", lambda m: F.lit(True), 0.5, 0.1)).otherwise(empty),
+    email = F.when(F.contains(text, F.lit("@")), found("email", lambda m: F.lit(True), 0.5, 0.1)).otherwise(empty)
+    numbers = {
         "ip": found("ip", octets, 0.4, 0.2),
         "card": found("card", lambda m: F.length(m).between(13, 37) & n(m).between(13, 19) & luhn(digits(m)), 0.4, 0.2, lambda m: n(m) >= 16),
         "grouped": found("card", lambda m: luhn(digits(m)), 0.6, 0.2, lambda m: F.lit(False), "grouped"),
@@ -173,7 +175,8 @@ def spans(text: Column) -> Column:
         return let(fixed, lambda fixed: F.array_sort(F.filter(all_spans, lambda s: s["base"] | (
             (s["score"] > CUTOFF - 1e-9) & ~F.exists(fixed, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))))
 
-    return let(F.concat(*listed.values()), lambda xs: F.when(F.size(xs) == 0, empty).otherwise(settle(xs)))
+    every = F.concat(email, F.when(text.rlike("[0-9]"), F.concat(*numbers.values())).otherwise(empty))
+    return let(every, lambda xs: F.when(F.size(xs) == 0, empty).otherwise(settle(xs)))
 
 
 def listed(xs: Column) -> Column:
@@ -182,9 +185,14 @@ def listed(xs: Column) -> Column:
     return F.array_join(F.transform(xs, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with a column pii of spans(text); null and empty texts have none, and any other column is untouched."""
-    return docs.withColumn("pii", spans(F.col(text_col)))
+def find(docs: DataFrame, text_col: str = "text", out_col: str = "pii") -> DataFrame:
+    """docs with a column out_col of spans(text); null and empty texts have none, repeated rows have theirs each.
+
+    docs must not have a column out_col: that is an error. Any other column is untouched.
+    """
+    if out_col in docs.columns:
+        raise ValueError(f"docs already has a column {out_col}")
+    return docs.withColumn(out_col, spans(F.col(text_col)))
 
 
 def redacted(text: Column, xs: Column) -> Column:
@@ -202,16 +210,17 @@ def redacted(text: Column, xs: Column) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with personal data in text_col replaced by its kind; a null text stays null."""
-    marked = docs.withColumn("__pii", spans(F.col(text_col)))
-    return marked.withColumn(text_col, redacted(F.col(text_col), F.col("__pii"))).drop("__pii")
+    """docs with personal data in text_col replaced by its kind; a null text stays null, and columns of any name stay as they are."""
+    column = unused(docs.columns, "pii")
+    return find(docs, text_col, column).withColumn(text_col, redacted(F.col(text_col), F.col(column))).drop(column)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts and digests of the spans of each row."""
-    base = F.filter("pii", lambda s: s["base"])
+    """Counts and digests of the spans of each row, repeated rows and null ids kept; other columns are ignored. An empty table gives an empty result."""
+    base = F.filter("found", lambda s: s["base"])
 
     def count(kind: int) -> Column:
-        return F.size(F.filter("pii", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{KINDS[kind]}")
+        return F.size(F.filter("found", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{KINDS[kind]}")
 
-    return find(docs.select(id_col, text_col), text_col).select(id_col, *map(count, range(4)), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+    found = docs.select(F.col(id_col).alias("id"), spans(F.col(text_col)).alias("found"))
+    return found.select(F.col("id").alias(id_col), *map(count, range(4)), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))

@@ -15,11 +15,15 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import unused
+
 #: Labelled documents that a model is fitted on, at most: those with the smallest hash of their id.
 TRAIN = 8_000
+#: Characters of their texts together, at most: a document that would go beyond is left out of the fit as a whole.
+CHARACTERS = 100_000_000
 #: Hashed features: a word, and its first four and five letters.
 FEATURES = 1 << 18
 EPOCHS = 24
@@ -160,47 +164,71 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN) -> tuple:
-    """A model fitted on at most `most` labelled documents that are not held out, whatever the size of docs."""
-    known = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(id_col)
-             .agg(F.max(label_col).alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(most))
-    # no more than `most` ids and bits
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
-        F.broadcast(known.withColumnRenamed(id_col, "id")), "id").dropDuplicates(["id"]).orderBy("id").toPandas()
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN, characters: int = CHARACTERS) -> tuple:
+    """A model fitted on at most `most` labelled documents and `characters` of text that are not held out, whatever the size of docs.
+
+    Of rows that share an id the smallest text counts, and the larger label.
+    """
+    known = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id"))
+             .agg(F.max(label_col).alias("y")).orderBy(F.xxhash64("id"), "id").limit(most))
+    # no more than `most` ids and bits; then no more than `most` lengths, of which the driver chooses
+    one = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
+    sizes = one.groupBy("id").agg(F.max(F.length("text")).alias("n")).orderBy(F.xxhash64("id"), "id").toPandas()
+    total, chosen = 0, []
+    for i, n in zip(sizes["id"], sizes["n"].fillna(0)):
+        if total + n <= characters:
+            total += n
+            chosen.append(i)
+    if len(chosen) < len(sizes):
+        one = one.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], f"id {dict(docs.dtypes)[id_col]}")), "id")
+    sample = one.groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")).orderBy("id").toPandas()
     return fit_calibrated(list(sample["text"]), sample["y"].to_numpy())
 
 
-def score(docs: DataFrame, model: tuple, text_col: str = "text") -> DataFrame:
-    """docs with a struct column toxicity (score, start, end): the score and place of the sentence that adds most to it.
+def scored(text: Column, model: tuple) -> Column:
+    """struct (score, start, end): the score of a text and the place of the sentence that adds most to it.
 
-    A text without words (null and empty ones too) scores 0 and has no sentence.
+    A text without words (null and empty ones too) scores 0 and has no sentence;
+    very long texts are read whole.
     """
     weights, *rest = model
     nonzero = np.flatnonzero(weights)
     values = weights[nonzero]
 
     @F.pandas_udf("score double, start int, end int")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         w = np.zeros(FEATURES)
         w[nonzero] = values
         scorer = Scorer((w, *rest))
         for texts in batches:
             yield pd.DataFrame([scorer(t) for t in texts], columns=["score", "start", "end"]).astype({"start": "Int32", "end": "Int32"})
 
-    return docs.withColumn("toxicity", scored(F.col(text_col)))
+    return score(text)
+
+
+def score(docs: DataFrame, model: tuple, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
+    """docs with a column out_col of scored(); docs must not have one: that is an error."""
+    if out_col in docs.columns:
+        raise ValueError(f"docs already has a column {out_col}")
+    return docs.withColumn(out_col, scored(F.col(text_col), model))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN) -> DataFrame:
     """(id_col, held_out, score, predicted, sentence_start, sentence_end) for every row of docs.
 
     Repeated rows score alike; a null id is never held out nor trained on. With
-    no labelled rows the model is its bias. An empty table gives an empty result.
+    no labelled rows the model is its bias. Other columns are ignored, whatever
+    their names. An empty table gives an empty result.
     """
-    scored = score(docs.select(id_col, text_col), train(docs, labels, id_col, text_col, most=most), text_col)
-    return scored.select(id_col, held_out(id_col).alias("held_out"), F.col("toxicity.score").alias("score"), (F.col("toxicity.score") >= CUTOFF).cast("int").alias("predicted"),
-                         F.col("toxicity.start").alias("sentence_start"), F.col("toxicity.end").alias("sentence_end"))
+    rows = docs.select(F.col(id_col).alias("id"), scored(F.col(text_col), train(docs, labels, id_col, text_col, most=most)).alias("t"))
+    return rows.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), F.col("t.score").alias("score"), (F.col("t.score") >= CUTOFF).cast("int").alias("predicted"),
+                       F.col("t.start").alias("sentence_start"), F.col("t.end").alias("sentence_end"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN) -> DataFrame:
-    """The rows of docs that score under CUTOFF, all columns kept."""
-    return score(docs, train(docs, labels, id_col, text_col, most=most), text_col).where(F.col("toxicity.score") < CUTOFF).drop("toxicity")
+    """The rows of docs that score under CUTOFF, with all their columns, whatever these are called.
+
+    Null and empty texts score 0 and stay; repeated rows go or stay together. An empty table gives an empty result.
+    """
+    column = unused(docs.columns, "toxicity")
+    return score(docs, train(docs, labels, id_col, text_col, most=most), text_col, column).where(F.col(f"{column}.score") < CUTOFF).drop(column)
