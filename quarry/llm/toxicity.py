@@ -69,10 +69,16 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> tuple[np.ndarray, float]:
     spread = np.zeros(FEATURES, np.int32)
     for ids, _ in docs:
         spread[np.unique(ids)] += 1
-    common = spread >= LEAST
+    kept = np.flatnonzero(spread >= LEAST)
+    # the features that take part, and one place without weight for all others
+    n = len(kept)
+    place = np.full(FEATURES, n, np.int32)
+    place[kept] = np.arange(n)
+    docs = [(place[ids], starts) for ids, starts in docs]
+    common = np.arange(n + 1) < n
     labels = np.asarray(toxic, float)
     some = np.array([k for k, d in enumerate(docs) if len(d[1])], int)
-    w, bias, m, v, mb, vb, step = np.zeros(FEATURES), START, np.zeros(FEATURES), np.zeros(FEATURES), 0.0, 0.0, 0
+    w, bias, m, v, mb, vb, step = np.zeros(n + 1), START, np.zeros(n + 1), np.zeros(n + 1), 0.0, 0.0, 0
     rng = np.random.default_rng(5)
     rounds = max(EPOCHS, -(-120 * BATCH // max(len(some), 1))) if len(some) else 0
     for epoch in range(rounds):
@@ -91,7 +97,7 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> tuple[np.ndarray, float]:
             # of -log-likelihood: p where clean; -p (1 - P) / P where toxic
             pull = np.where(y > 0, -1 / np.maximum(np.expm1(np.minimum(clean, 50)), 1e-6), 1.0)
             g_z = p * np.repeat(pull, count)
-            g = np.bincount(ids, np.repeat(g_z, np.diff(np.append(begin, len(ids)))), FEATURES) * common / len(batch) + 1e-6 * w
+            g = np.bincount(ids, np.repeat(g_z, np.diff(np.append(begin, len(ids)))), n + 1) * common / len(batch) + 1e-6 * w
             gb = g_z.sum() / len(batch)
             step += 1
             rate = RATE * min(1.0, 2 * (1 - epoch / rounds))
@@ -99,7 +105,9 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> tuple[np.ndarray, float]:
             mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
             w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
             bias -= rate * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.99**step)) + 1e-6)
-    return w.astype(np.float32), float(bias)
+    weights = np.zeros(FEATURES, np.float32)
+    weights[kept] = w[:n]
+    return weights, float(bias)
 
 
 def log_odds(z: np.ndarray) -> float:

@@ -101,7 +101,7 @@ def test_repeated_rows_and_clashes_in_the_mix(spark):
 @pytest.mark.parametrize("k", range(5))
 def test_pipeline_stages_at_their_edges(spark, k, tmp_path):
     name, stage = corpus_pipeline.STAGES[k]
-    labels_of(spark).write.parquet(str(tmp_path / "labels.parquet"))
+    labels_of(spark).withColumn("toxic", F.lit(0)).write.parquet(str(tmp_path / "labels.parquet"))
     docs = docs_of(spark, ROWS).withColumn("toxicity", F.lit(1)).withColumn("pii", F.lit(2)).withColumn("component_id", F.lit(3)).withColumn("length", F.lit(4)).withColumn("size", F.lit(5))
     out = stage(spark, docs, str(tmp_path))
     assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
