@@ -111,7 +111,7 @@ def test_pipeline_stages_at_their_edges(spark, k, tmp_path):
 
 
 def test_no_local_folder_on_a_cluster(spark, monkeypatch):
-    monkeypatch.setattr(type(spark.sparkContext), "master", "spark://host:7077", raising=False)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     with pytest.raises(RuntimeError):
         common.shared_root(spark)
 
