@@ -178,7 +178,7 @@ def fitting(length: int, turn: int):
         first[np.unique(bin_of, return_index=True)[1]] = 1
         sequence = (turn << 56) + (key[0].as_py() << 32) + bin_of
         return (table.drop_columns(["part"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
-                .append_column("certified", pa.array(np.full(len(sizes), certified))).append_column("settled", pa.array(settled)).append_column("opens", pa.array(first)))
+                .append_column("certified", pa.array((room[bin_of] == 0) | certified)).append_column("settled", pa.array(settled)).append_column("opens", pa.array(first)))
 
     return fit
 
@@ -186,8 +186,8 @@ def fitting(length: int, turn: int):
 def pack(items: DataFrame, length: int = LENGTH, part: int = PART) -> DataFrame:
     """items (any columns, and length) with sequence_id, offset and certified.
 
-    certified is true for items of a length, which fill a sequence alone, and
-    for those of partitions packed into as few sequences as their bound allows.
+    certified is true in sequences that are full, which waste nothing, and in
+    those of partitions packed into as few as their bound allows.
     At least two partitions exchange, unless there are too few items for two.
     """
     schema = ", ".join(f"`{n}` {t}" for n, t in items.dtypes)
