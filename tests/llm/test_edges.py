@@ -2,6 +2,7 @@
 
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -110,10 +111,15 @@ def test_pipeline_stages_at_their_edges(spark, k, tmp_path):
     assert out.count() == {0: 7, 1: 5, 2: 7}.get(k, out.count()) and out.where("doc_id = 5").count() >= 1
 
 
-def test_no_local_folder_on_a_cluster(spark, monkeypatch):
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
-    with pytest.raises(RuntimeError):
-        common.shared_root(spark)
+def test_no_local_folder_on_a_cluster():
+    def session(master, conf=None, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: conf or default), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: folder))
+
+    assert common.shared_root(session("spark://h:7077", "hdfs:/shared/")) == "hdfs:/shared" and common.shared_root(session("yarn", None, "hdfs:/given/1")) == "hdfs:/given/1"
+    assert common.shared_root(session("local[4]")).startswith("file:///")
+    for master in ("spark://h:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            common.shared_root(session(master))
 
 
 def test_scratch_deletes_what_it_stored(spark):
