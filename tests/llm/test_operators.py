@@ -343,16 +343,16 @@ def test_pipeline_stages(spark):
 
 def test_pipeline_equals_brute_force(spark):
     """run() against groups by all pairs, spans cut out of strings and the tokenizer; toxicity and the mix, tested above, come from their operators."""
+    from test_copies import words
     from tokenizers import Tokenizer
 
     import corpus_pipeline
 
     clean = toxicity.drop_toxic(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")).cache()
-    fps = {r.doc_id: r.fp for r in simhash.near_duplicates(clean).collect()}
-    ids = sorted(fps)
-    bits = np.array([fps[i] for i in ids], np.int64).astype(np.uint64)
-    near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= 4
-    label = components(len(ids), list(zip(*np.nonzero(np.triu(near, 1)))))
+    sets = {r.doc_id: words(r.text) for r in clean.collect()}
+    ids = sorted(sets)
+    near = [(i, j) for i, x in enumerate(ids) for j, y in enumerate(ids[:i]) if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])]
+    label = components(len(ids), near)
     first = {ids[k] for k in range(len(ids)) if label[k] == k}
     assert len(first) < len(ids)
 
