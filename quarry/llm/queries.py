@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, embedding_dedup, html, mixing, packing, pii, quality, secrets, simhash, toxicity
+from quarry.llm import ann, embedding_dedup, html, mixing, packing, pii, quality, secrets, simhash, spelling, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +60,15 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("vec_id % 20 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_embedding_near_dedup, op3_pii, op4_importance_resampling, op5_toxicity, op6_secret_scans, op7_best_fit_packing, op8_html_extraction, op9_mix_sources, op10_nearest_neighbours)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_embedding_near_dedup, op3_pii, op4_importance_resampling, op5_toxicity, op6_secret_scans, op7_best_fit_packing, op8_html_extraction, op9_mix_sources, op10_nearest_neighbours, op11_spelling_variants)}
+
+#: CRC-32 of a list of bytes in DuckDB, given a row tab with the 256 steps of its table.
+CRC_TABLE = "tab as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as steps)"
+CRC = "xor(list_reduce({}, lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1]), 4294967295), 4294967295)"
 
 #: DuckDB SQL of the operators that it can express. Op 2's pairs are exact; its hashing finds them with a chance of 0.9995 each at least.
 ORACLE: dict[str, str] = {
@@ -87,4 +95,22 @@ select doc_id, size::bigint as size, s::bigint as source_size, round(target, 6)
     "op8_html_extraction": r"""with cut as (select page_id, url, string_split_regex(replace(regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?b>', '', 'g'), '<br>', ' '), '</?(?:h1|p)>') as parts from pages),
 plain as (select page_id, url, list_filter(list_transform(parts, lambda b: trim(regexp_replace(replace(replace(replace(replace(replace(b, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))), lambda b: b <> '') as blocks from cut)
 select page_id, url, coalesce(array_to_string(blocks, chr(10)), '') as text, length(coalesce(array_to_string(blocks, chr(10)), '')) as n_chars from plain""",
+    # Near words by what deleting one code point leaves: the same text at the same place (replaced), or a word (deleted).
+    "op11_spelling_variants": f"""with recursive {CRC_TABLE},
+runs as (select coalesce(cast(doc_id as varchar), '') as id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) as run from documents),
+counted as (select id, run, count(*) as n from runs group by all),
+bytes as (select run, n, flatten(list_transform(string_split(id || ':' || run, ''), lambda c: case when ord(c) < 128 then [ord(c)] else [192 | (ord(c) >> 6), 128 | (ord(c) & 63)] end)) as b from counted),
+hashed as (select run, n, {CRC.format("b")} as h from bytes, tab),
+words as (select case when h % 97 = 0 then run[: (h % length(run))::int] || run[(h % length(run))::int + 2 :] else run end as word, sum(n) as n from hashed group by 1),
+kept as (select word, n from words where length(word) >= 5 and n >= 3),
+cut as (select word, n, unnest(range(1, length(word) + 1)) as pos from kept),
+left_ as (select word, n, pos, word[: pos - 1] || word[pos + 1 :] as rest from cut),
+pairs as (select a.word as a, b.word as b from left_ a join left_ b on a.rest = b.rest and a.pos = b.pos and a.word <> b.word
+union select l.word, k.word from left_ l join kept k on l.rest = k.word union select k.word, l.word from left_ l join kept k on l.rest = k.word),
+near as (select p.a as word, count(*) as n_near, max(k.n) as most from pairs p join kept k on k.word = p.b group by 1),
+forms as (select n.word, k.n, n.n_near, n.most, min(k2.word) as form from near n join kept k on k.word = n.word join pairs p on p.a = n.word join kept k2 on k2.word = p.b and k2.n = n.most group by all),
+chosen as (select word, n_near, case when most >= 2 * n then form end as form, case when most >= 2 * n then most end as form_n from forms),
+chain as (select word, word as top from kept union all select c.word, f.form from chain c join chosen f on f.word = c.top where f.form is not null),
+ends as (select c.word, c.top as root from chain c left join chosen f on f.word = c.top where f.form is null)
+select word, n::bigint as n, coalesce(n_near, 0)::bigint as n_near, form, form_n::bigint as form_n, root from kept left join chosen using (word) left join ends using (word)""",
 }
