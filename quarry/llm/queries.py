@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, embedding_dedup, html, mixing, packing, pii, quality, secrets, simhash, spelling, toxicity
+from quarry.llm import ann, embedding_dedup, html, merkle, mixing, packing, pii, quality, secrets, simhash, spelling, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,12 +66,26 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_embedding_near_dedup, op3_pii, op4_importance_resampling, op5_toxicity, op6_secret_scans, op7_best_fit_packing, op8_html_extraction, op9_mix_sources, op10_nearest_neighbours, op11_spelling_variants)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verifies a copy in which the text of every fifth document, by the CRC-32 of its id, has lost its capitals."""
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    altered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, merkle.leaf("doc_id", "source", "lang", "n_chars", lower))
+    return merkle.manifest(table(spark, sf_dir, "documents"), altered=altered).drop("source", "place")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_embedding_near_dedup, op3_pii, op4_importance_resampling, op5_toxicity, op6_secret_scans, op7_best_fit_packing, op8_html_extraction, op9_mix_sources, op10_nearest_neighbours, op11_spelling_variants, op12_merkle_manifest)}
 
 #: CRC-32 of a list of bytes in DuckDB, given a row tab with the 256 steps of its table.
 CRC_TABLE = "tab as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as steps)"
 CRC = "xor(list_reduce({}, lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1]), 4294967295), 4294967295)"
 
+
+
+def _leaf(text: str) -> str:
+    parts = (f"coalesce(octet_length(encode({x}))::varchar || ':' || {x}, '-')" for x in ("doc_id::varchar", "source", "lang", "n_chars::varchar", text))
+    return f"sha256({' || '.join(parts)})"
+
+
 #: DuckDB SQL of the operators that it can express. Op 2's pairs are exact; its hashing finds them with a chance of 0.9995 each at least.
 ORACLE: dict[str, str] = {
     "op2_embedding_near_dedup": """with recursive pairs as (select a.vec_id as a, b.vec_id as b from embeddings a, embeddings b
@@ -113,4 +129,23 @@ chosen as (select word, n_near, case when most >= 2 * n then form end as form, c
 chain as (select word, word as top from kept union all select c.word, f.form from chain c join chosen f on f.word = c.top where f.form is not null),
 ends as (select c.word, c.top as root from chain c left join chosen f on f.word = c.top where f.form is null)
 select word, n::bigint as n, coalesce(n_near, 0)::bigint as n_near, form, form_n::bigint as form_n, root from kept left join chosen using (word) left join ends using (word)""",
+    "op12_merkle_manifest": f"""with recursive {CRC_TABLE},
+rows_ as (select *, list_transform(string_split(doc_id::varchar, ''), lambda c: ord(c)) as b from documents),
+leaves as (select doc_id, source, {_leaf("text")} as leaf, case when {CRC.format("b")} % 5 = 0 then {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} end as altered from rows_, tab),
+placed as (select *, row_number() over () as k, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by source) as n from leaves),
+nodes as (select source, 0 as level, pos, n, leaf as d from placed
+union all select source, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(d, '' order by pos)) from nodes where n > 1 group by source, level, pos // 16, n),
+tops as (select source, d as subroot, row_number() over (order by source nulls first) - 1 as pos, count(*) over () as n from nodes where n = 1),
+upper_ as (select 0 as level, pos, n, subroot as d from tops
+union all select level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(d, '' order by pos)) from upper_ where n > 1 group by level, pos // 16, n),
+sides as (select *, coalesce(string_agg(d, '') over (run rows between unbounded preceding and 1 preceding), '') as l, coalesce(string_agg(d, '') over (run rows between 1 following and unbounded following), '') as r
+from nodes where n > 1 window run as (partition by source, level, pos // 16 order by pos)),
+upper_sides as (select *, coalesce(string_agg(d, '') over (run rows between unbounded preceding and 1 preceding), '') as l, coalesce(string_agg(d, '') over (run rows between 1 following and unbounded following), '') as r
+from upper_ where n > 1 window run as (partition by level, pos // 16 order by pos)),
+fold as (select k, source, 0 as level, pos, n, coalesce(altered, leaf) as x, '' as proof from placed
+union all select k, f.source, f.level + 1, f.pos // 16, (f.n + 15) // 16, sha256(l || x || r), proof || l || r from fold f join sides s on f.source is not distinct from s.source and f.level = s.level and f.pos = s.pos where f.n > 1),
+above as (select k, 0 as level, t.pos, t.n, x, proof from fold f join tops t on f.source is not distinct from t.source where f.n = 1
+union all select k, f.level + 1, f.pos // 16, (f.n + 15) // 16, sha256(l || x || r), proof || l || r from above f join upper_sides s on f.level = s.level and f.pos = s.pos where f.n > 1)
+select doc_id, leaf, subroot, u.d as root, sha256(proof) as proof_sha256, x as folded_root, x = u.d as verified
+from placed p join above a on a.k = p.k and a.n = 1 join tops t on t.source is not distinct from p.source join upper_ u on u.n = 1""",
 }
