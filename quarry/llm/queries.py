@@ -7,7 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, embedding_dedup, html, merkle, mixing, packing, pii, quality, secrets, simhash, spelling, toxicity
+from quarry.llm import ann, embedding_dedup, html, language, merkle, mixing, packing, pii, quality, secrets, simhash, spelling, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +73,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), altered=altered).drop("source", "place")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_embedding_near_dedup, op3_pii, op4_importance_resampling, op5_toxicity, op6_secret_scans, op7_best_fit_packing, op8_html_extraction, op9_mix_sources, op10_nearest_neighbours, op11_spelling_variants, op12_merkle_manifest)}
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.classify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_embedding_near_dedup, op3_pii, op4_importance_resampling, op5_toxicity, op6_secret_scans, op7_best_fit_packing, op8_html_extraction, op9_mix_sources, op10_nearest_neighbours, op11_spelling_variants, op12_merkle_manifest, op13_language_id)}
 
 #: CRC-32 of a list of bytes in DuckDB, given a row tab with the 256 steps of its table.
 CRC_TABLE = "tab as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as steps)"
