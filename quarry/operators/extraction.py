@@ -7,6 +7,7 @@ import hashlib
 import inspect
 import json
 import tempfile
+import threading
 import time
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -25,15 +26,20 @@ from quarry.plans.schema import row_schema, rows_wrapper
 Extractor = Callable[..., object]
 
 
+_loops = threading.local()
+
+
 def settled(value: Any) -> Any:
-    """The value, or what it comes to if it is awaitable."""
+    """The value, or what it comes to if it is awaitable, in the one event loop of this thread."""
     if not inspect.isawaitable(value):
         return value
+    if not hasattr(_loops, "runner"):
+        _loops.runner = asyncio.Runner()
 
     async def wait() -> Any:
         return await value
 
-    return asyncio.run(wait())
+    return _loops.runner.run(wait())
 
 
 def call(extractor: Extractor, text: str, **context) -> list:

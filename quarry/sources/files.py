@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +12,16 @@ from pyspark.sql import functions as F
 from quarry.functions.payload import parse_object
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir or the context's checkpoint folder; a temporary one where executors are threads of the driver."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="quarry-")
+    return f"{root.rstrip('/')}/quarry-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, ext, text) of files, bad UTF-8 bytes left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
