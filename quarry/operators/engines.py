@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Mapping
 from typing import Any
 
+from quarry.functions.payload import payload_of
 from quarry.operators.extraction import settled
 from quarry.operators.routing import ROSTER, Engine
 
@@ -13,10 +14,16 @@ from quarry.operators.routing import ROSTER, Engine
 TOLD = ("usage", "cost", "route")
 
 
+#: The wordings of the prompt for a text and for a document.
+PROMPTS = {
+    "source text": "Extract structured data from the source text. Return only JSON that conforms to this JSON Schema.\n\nSchema:\n{schema}\n\nSource text:\n{text}",
+    "document": "Extract structured data from the document. Return only JSON that conforms to this JSON Schema.\n\nSchema:\n{schema}\n\nDocument:\n{text}",
+}
+
+
 def extraction_prompt(text: str, schema: Mapping[str, Any], source: str = "source text") -> str:
-    """What a text model is asked: to answer with JSON of the schema alone; source is "source text" or "document". The wording is a fixed value."""
-    return (f"Extract structured data from the {source}. Return only JSON that conforms to this JSON Schema.\n\n"
-            f"Schema:\n{json.dumps(schema, ensure_ascii=False)}\n\n{source.capitalize()}:\n{text}")
+    """What a text model is asked: to answer with JSON of the schema alone; source is one of PROMPTS."""
+    return PROMPTS[source].format(schema=json.dumps(schema, ensure_ascii=False), text=text)
 
 
 def completion_prompt(text: str, schema: Mapping[str, Any]) -> str:
@@ -53,7 +60,7 @@ def provider_engine(provider_call: Callable[..., Any] | None, provider: str = "d
         prompt = prompt_builder(**told, **options) if prompt_builder else extraction_prompt(text, schema)
         answer = dumped(settled(provider_call(**told, prompt=prompt, **options)))
         if not isinstance(answer, dict):
-            return {"data": _parsed(answer), "metadata": {"provider": provider, "model": model}}
+            return {"data": payload_of(answer) if isinstance(answer, str) else answer, "metadata": {"provider": provider, "model": model}}
         own = answer["metadata"] if isinstance(answer.get("metadata"), dict) else {}
         return answer | {"metadata": {"provider": provider, "model": model} | own | {k: answer[k] for k in TOLD if k in answer}}
 
@@ -61,14 +68,6 @@ def provider_engine(provider_call: Callable[..., Any] | None, provider: str = "d
     return Engine(name, extensions, run, provider_call is not None, dict(capabilities))
 
 
-def _parsed(answer: Any) -> Any:
-    """A JSON text, fenced or plain, as what it holds; any other answer as it is."""
-    if not isinstance(answer, str):
-        return answer
-    lines = answer.strip().removeprefix("```json").removeprefix("```").removesuffix("```")
-    return json.loads(lines)
-
-
 def composite_engine(convert: Callable[[str], Any] | None, inner: Engine, converter: str = "auto", name: str = "converted_llm") -> Engine:
     """An engine that turns a document into text by convert, plain or awaitable, and leaves the rest to inner; metadata says so."""
 

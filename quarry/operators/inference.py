@@ -188,7 +188,7 @@ def limited(df: DataFrame, call: Callable[[str], Any], limit: Limit, text: str =
     stretch of a period's length. A call that takes longer runs on while others
     begin; a period's calls end before the next is agreed on. A null text is not
     asked for. A lost executor repeats the stage, as barrier stages do; behind a
-    ledger (quarry.operators.ledger) no finished call is repeated.
+    ledger (extraction.answered) no finished call is repeated.
     """
     most = df.sparkSession.sparkContext.defaultParallelism
     n = max(1, min(tasks or most, most))

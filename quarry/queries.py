@@ -175,12 +175,17 @@ def coerce_schema(spark, sf_dir):
 
 
 _ANSWER = case("event_id", ["concat('{\"data\": {\"k\": \"', cast(event_id as varchar(20)), ' pcs\", \"name\": \"', event_type, '\"}}')",
-                            "concat('{\"k\": ', cast(event_id as varchar(20)), '}')", "'7'"])
+                            "concat('{\"k\": ', cast(event_id as varchar(20)), '}')", "'7'",
+                            "concat('```json', chr(10), '{\"k\": ', cast(event_id as varchar(20)), ', \"name\": \"fenced\"}', chr(10), '```')",
+                            "concat('Here it is: {\"result\": {\"k\": ', cast(event_id as varchar(20)), ', \"name\": \"{prose}\"}} as asked.')",
+                            "replace(concat('\"{#k#: ', cast(event_id as varchar(20)), ', #name#: #quoted#}\"'), '#', concat(chr(92), '\"'))", "'no payload at all'"])
 
 
-@query("""select event_id, case event_id % 3 when 0 then '{"k":' || event_id || ',"name":"' || event_type || '"}' when 1 then '{"k":' || event_id || '}' end as data,
-case event_id % 3 when 0 then '' when 1 then '$.name: required field missing' else '$: no payload' end as errors, event_id % 3 = 0 as valid from events""")
+@query("""select event_id, case event_id % 7 when 0 then '{"k":' || event_id || ',"name":"' || event_type || '"}' when 1 then '{"k":' || event_id || '}' when 3 then '{"k":' || event_id || ',"name":"fenced"}'
+when 4 then '{"k":' || event_id || ',"name":"{prose}"}' when 5 then '{"k":' || event_id || ',"name":"quoted"}' end as data,
+case event_id % 7 when 1 then '$.name: required field missing' when 2 then '$: no payload' when 6 then '$: no payload' else '' end as errors, event_id % 7 in (0, 3, 4, 5) as valid from events""")
 def build_results(spark, sf_dir):
+    """Results of answers that are bare, fenced, amid prose, quoted once more, scalars and no JSON at all."""
     answers = table(spark, sf_dir, "events").select("event_id", F.expr(_ANSWER.replace("varchar(20)", "string")).alias("answer"))
     return results.build_results(answers, "answer", SCHEMA).select("event_id", "data", F.array_join("errors", "; ").alias("errors"), "valid")
 
@@ -310,7 +315,7 @@ def compare_agreement(spark, sf_dir):
     return routing.field_agreement(values, key="event_id")
 
 
-@query("""select user_id, event_type as field, arg_max(cast(event_id as varchar), event_id) as value, cast(0.5 as double) as confidence, '{"event_id":' || max(event_id) || '}' as provenance
+@query("""select user_id, event_type as field, cast(max(event_id) as varchar) as value, cast(0.5 as double) as confidence, '{"event_id":' || max(event_id) || '}' as provenance
 from events group by user_id, event_type""")
 def decode_entities(spark, sf_dir):
     entity = F.struct("event_id", F.col("event_type").alias("type"), F.lit("no").alias("value"), F.col("event_id").alias("normalized_value"), F.lit(0.5).alias("confidence"))
@@ -319,14 +324,15 @@ def decode_entities(spark, sf_dir):
 
 
 @query("""select event_id, 'k' as field, props->>'$.k' as value, cast(0.25 as double) as confidence, '{"page":' || (event_id % 9) || '}' as provenance from events
-union all select event_id, 't', event_type, null, null from events union all select event_id, 'z', null, null, null from events""")
+union all select event_id, 't', '"' || event_type || '"', null, null from events union all select event_id, 'z', null, null, null from events
+union all select event_id, 's', '"' || event_id || '"', null, null from events union all select event_id, 'n', cast(event_id as varchar), null, '{"at":{"x":1}}' from events""")
 def decode_fields(spark, sf_dir):
     text = F.concat(F.lit('{"pages": 2, "fields": {"k": {"value": '), F.get_json_object("props", "$.k"), F.lit(', "confidence": 0.25, "page": '), (F.col("event_id") % 9).cast("string"), F.lit('}, "t": "'),
-                    F.col("event_type"), F.lit('", "z": {"value": null}}}'))
+                    F.col("event_type"), F.format_string('", "z": {"value": null}, "s": "%d", "n": {"value": %d, "confidence": "no", "at": {"x": 1}}}}', "event_id", "event_id"))
     return decoders.decode_fields(table(spark, sf_dir, "events").select("event_id", text.alias("payload")), "payload", "event_id")
 
 
-@query("""select event_id, 'k' as field, props->>'$.k' as value, cast(0.875 as double) as confidence, '{"page":2,"block_id":"b"}' as provenance from events""")
+@query("""select event_id, 'k' as field, '"' || (props->>'$.k') || '"' as value, cast(0.875 as double) as confidence, '{"page":2,"block_id":"b"}' as provenance from events""")
 def decode_blocks(spark, sf_dir):
     text = F.concat(F.lit('{"Blocks": [{"BlockType": "PAGE"}, {"BlockType": "QUERY_RESULT", "Text": "old", "Query": {"Alias": "k"}}, {"BlockType": "QUERY_RESULT", "Query": {"Alias": "k"}, "Confidence": 87.5, "Page": 2, "Id": "b", "Text": "'),
                     F.get_json_object("props", "$.k"), F.lit('"}]}'))
@@ -396,14 +402,20 @@ def compare_engines(spark, sf_dir):
     return _stub_router().compare(table(spark, sf_dir, "documents").select("doc_id", "text"), {}, ["lift", "fenic", "textract"])
 
 
-@query("""select * from (values ('lift', 8, 'field_confidence,nested_schemas,provenance,remote'), ('nuextract', 9, 'batch,local,nested_schemas'), ('provider_router', 5, 'batch,nested_schemas,remote'),
-('llm_structured', 10, 'batch,nested_schemas,remote'), ('instructor', 9, 'batch,nested_schemas,remote'), ('fenic', 5, 'batch,nested_schemas,remote'), ('llamaextract', 8, 'batch,nested_schemas,remote'),
-('azure_docint', 8, 'field_confidence,provenance,remote'), ('google_docai', 9, 'field_confidence,nested_schemas,provenance,remote'), ('textract', 6, 'field_confidence,provenance,remote'),
-('converted_llm', 10, 'batch,nested_schemas,remote')) t(name, n_extensions, capabilities)""")
+@query(f"""with counted as (select ext, count(*) as n from (select {_EXT} as ext from documents) group by ext),
+engines as (select * from (values ('lift', 8, 'field_confidence,nested_schemas,provenance,remote', ['txt', 'pdf']), ('nuextract', 9, 'batch,local,nested_schemas', ['txt', 'pdf']),
+('provider_router', 5, 'batch,nested_schemas,remote', ['txt', 'html']), ('llm_structured', 10, 'batch,nested_schemas,remote', ['txt', 'html', 'pdf']), ('instructor', 9, 'batch,nested_schemas,remote', ['txt', 'pdf']),
+('fenic', 5, 'batch,nested_schemas,remote', ['txt', 'html']), ('llamaextract', 8, 'batch,nested_schemas,remote', ['txt', 'pdf']), ('azure_docint', 8, 'field_confidence,provenance,remote', ['pdf']),
+('google_docai', 9, 'field_confidence,nested_schemas,provenance,remote', ['pdf']), ('textract', 6, 'field_confidence,provenance,remote', ['pdf']), ('converted_llm', 10, 'batch,nested_schemas,remote', ['txt', 'html', 'pdf'])) t(name, n_extensions, capabilities, takes))
+select name, n_extensions, capabilities, cast(coalesce(sum(n), 0) as bigint) as documents from engines left join counted on list_contains(takes, ext) group by all""")
 def list_engines(spark, sf_dir):
+    """The engine table beside the documents that each engine takes."""
     engines = _router().list_engines(spark)
     able = F.array_sort(F.map_keys(F.map_filter("capabilities", lambda _, v: v)))
-    return engines.select("name", F.size("extensions").alias("n_extensions"), F.array_join(able, ",").alias("capabilities"))
+    docs = table(spark, sf_dir, "documents").groupBy(F.expr(_EXT).alias("ext")).count()
+    taken = engines.select("name", F.explode("extensions").alias("ext")).join(docs, "ext").groupBy("name").agg(F.sum("count").alias("documents"))
+    shown = engines.select("name", F.size("extensions").alias("n_extensions"), F.array_join(able, ",").alias("capabilities"))
+    return shown.join(taken, "name", "left").fillna(0, ["documents"])
 
 
 _PAYLOAD = case("event_id", ["concat('{\"data\": {\"k\": \"', cast(event_id as varchar(20)), ' pcs\", \"name\": \"a\"}, \"field_confidence\": {\"k\": 0.5, \"name\": \"no\"}, \"provenance\": {\"k\": {\"page\": 2}}, \"pages\": 3, \"metadata\": {\"cost\":1}}')",
@@ -415,7 +427,9 @@ case event_id % 2 when 0 then '' else '$.k: expected integer, got float' end as
 case event_id % 2 when 0 then 'k={"page":2}' else 'k={"page":7}' end as provenance, case event_id % 2 when 0 then 3 end as pages, case event_id % 2 when 0 then '{"cost":1}' end as metadata, 'object' as schema_type from events""")
 def result_rows(spark, sf_dir):
     """The whole result of a payload: data, validity, confidences, provenance, pages, metadata, engine and schema."""
-    answers = table(spark, sf_dir, "events").select("event_id", F.lit("fenic").alias("engine_name"), F.expr(_PAYLOAD.replace("varchar(20)", "string")).alias("answer"))
+    plain = F.expr(_PAYLOAD.replace("varchar(20)", "string"))
+    told = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```\n"), plain, F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("So: "), plain, F.lit(" I hope."))).otherwise(plain)
+    answers = table(spark, sf_dir, "events").select("event_id", F.lit("fenic").alias("engine_name"), told.alias("answer"))
     rows = results.build_results(answers, "answer", SCHEMA)
     shown = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
     return rows.select("event_id", "engine_name", "data", "valid", F.array_join("errors", "; ").alias("errors"), shown("field_confidence").alias("confidence"), shown("provenance").alias("provenance"), "pages", "metadata",
@@ -459,14 +473,16 @@ def _even_rows(text: str, **_) -> list[dict]:
     return [{"n": len(text)}]
 
 
-@query(f"""select doc_id, bool_and(length(chunk) >= 200) as valid, count(*) as total_chunks, count(*) filter (where length(chunk) < 200) as failed_chunks,
-cast(count(distinct case when length(chunk) >= 200 then length(chunk) end) as bigint) as rows_extracted, cast(count(*) as bigint) as chunks_told, 'lift' as engine_name from ({_WINDOWS}) group by doc_id""")
+@query(f"""select doc_id, coalesce(bool_and(length(chunk) >= 200), true) as valid, count(chunk) as total_chunks, count(*) filter (where length(chunk) < 200) as failed_chunks,
+cast(count(distinct case when length(chunk) >= 200 then length(chunk) end) as bigint) as rows_extracted, count(chunk) as chunks_told, cast(coalesce(max(start + length(chunk)), 0) as bigint) as chars_told, 'lift' as engine_name
+from (select doc_id from documents) left join (select * from ({_WINDOWS}) where doc_id % 10 > 1) using (doc_id) group by doc_id""")
 def chunked_results(spark, sf_dir):
-    """Chunked extraction to one validated result a document; chunks under 200 characters fail."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = extraction.extract_rows_chunked(docs, [{"n": 1}], _even_rows, engine_name="lift", max_chars=1000, overlap=100)
-    told = F.size(F.from_json(F.get_json_object("metadata", "$.chunks"), "array<string>")).cast("long")
-    return found.select("doc_id", "valid", "total_chunks", "failed_chunks", "rows_extracted", told.alias("chunks_told"), "engine_name")
+    """Chunked extraction to one validated result a document; chunks under 200 characters fail, and of ten texts one is null and one empty."""
+    text = F.when(F.col("doc_id") % 10 == 0, F.lit(None)).when(F.col("doc_id") % 10 == 1, F.lit("")).otherwise(F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    found = extraction.extract_rows_chunked(docs, [{"n": 1}], _even_rows, engine_name="lift", max_chars=1000, overlap=100, continue_on_error=True)
+    told = F.from_json(F.get_json_object("metadata", "$.chunks"), 'array<struct<start:long,`end`:long>>')
+    return found.select("doc_id", "valid", "total_chunks", "failed_chunks", "rows_extracted", F.size(told).cast("long").alias("chunks_told"), F.coalesce(F.array_max(told["end"]), F.lit(0).cast("long")).alias("chars_told"), "engine_name")
 
 
 @query("""select user_id, cast(st // 4 as int) as idx, '[' || string_agg('{"e": ' || event_id || ', "t": "' || event_type || '"}', ', ' order by pos) || ']' as chunk
@@ -478,11 +494,11 @@ def chunk_rows_text(spark, sf_dir):
     return arrays.transform(chunking.chunk_array("rows", max_rows=5, overlap=1)).select("user_id", "idx", "chunk")
 
 
-@query("""select doc_id, sha256('{"text":"' || chunk || '","index":' || (start // 40) || ',"start":' || start || ',"end":' || least(start + 50, n) || ',"strategy":"text","overlap":' || (case when start = 0 then 0 else 10 end) || ',"metadata":{"unit":"char"}}') as chunk_sha256
-from (select doc_id, n, st as start, substring(t, st + 1, 50) as chunk from (select doc_id, t, length(t) as n, unnest(range(0, greatest(length(t) - 10, 1), 40)) as st from (select doc_id, regexp_replace(text, '[^a-z ]', '', 'g') as t from documents) where length(t) > 0))""")
+@query("""select doc_id, sha256('{"text":' || to_json(chunk) || ',"index":' || (start // 40) || ',"start":' || start || ',"end":' || least(start + 50, n) || ',"strategy":"text","overlap":' || (case when start = 0 then 0 else 10 end) || ',"metadata":{"unit":"char"}}') as chunk_sha256
+from (select doc_id, n, st as start, substring(t, st + 1, 50) as chunk from (select doc_id, text as t, length(text) as n, unnest(range(0, greatest(length(text) - 10, 1), 40)) as st from documents where length(text) > 0))""")
 def chunks_as_json(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^a-z ]", "").alias("t"))
-    return docs.transform(chunking.chunk_text("t", max_chars=50, overlap=10)).select("doc_id", F.sha2(chunking.chunk_json(), 256).alias("chunk_sha256"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.transform(chunking.chunk_text("text", max_chars=50, overlap=10)).select("doc_id", F.sha2(chunking.chunk_json(), 256).alias("chunk_sha256"))
 
 
 @query("""select event_id, case event_id % 5 when 3 then null when 4 then null else props end as object, case event_id % 5 when 4 then concat('[', props, ',', props, ']') end as list from events""")
