@@ -1,76 +1,108 @@
-"""Comparison of JSON values of any depth, where nesting is known only from the data: small Arrow functions."""
+"""Comparison of JSON values of any depth, as SQL functions.
 
-from __future__ import annotations
+Two values are walked side by side, and where the walk ends, at a scalar, at
+values of different kinds, at lists of different lengths, at what one side
+lacks, stands an end: the JSON texts of both sides there. The ends of a pair are
+an array of structs, made in the JVM; whether values match, and how many places
+of two lists do, are counts over them. JSON numbers are compared as numbers, and
+texts as dates, else as numbers, else as words.
+"""
 
-import json
-import re
-from datetime import datetime
-from typing import Any
+from __future__ import annotations
 
-import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType
-
-#: Date formats tried in order.
-_DATES = ("%Y-%m-%d", "%B %d, %Y", "%b %d, %Y", "%m/%d/%Y", "%d.%m.%Y")
-
-
-def _day(value: Any) -> datetime | None:
-    for form in _DATES:
-        try:
-            return datetime.strptime(str(value).strip(), form)
-        except ValueError:
-            pass
-    return None
-
-
-def _number(value: Any) -> float | None:
-    text = "" if isinstance(value, bool) else re.sub(r"[^0-9.\-]", "", str(value))
-    try:
-        return float(text) if re.search("[0-9]", text) else None
-    except ValueError:
-        return None
-
-
-def same(predicted: Any, gold: Any) -> bool:
-    """True if two JSON values match: objects by gold's members, lists place by place, scalars as the same date, else number, else words."""
-    if isinstance(predicted, dict) and isinstance(gold, dict):
-        # an empty gold object matches an empty one only
-        return bool(gold or not predicted) and all(k in predicted and same(predicted[k], v) for k, v in gold.items())
-    if isinstance(predicted, list) and isinstance(gold, list):
-        return len(predicted) == len(gold) and aligned(predicted, gold) == 1.0
-    for read, equal in ((_day, lambda a, b: a == b), (_number, lambda a, b: abs(a - b) < 1e-6)):
-        a, b = read(predicted), read(gold)
-        if a is not None and b is not None:
-            return equal(a, b)
-    return str(predicted).lower().split() == str(gold).lower().split()
-
-
-def aligned(predicted: list, gold: list) -> float:
-    """The share of matches over the places of two lists: gold's members of objects, one for any other pair; a missing item is an empty object."""
-    if not predicted or not gold:
-        return float(not predicted and not gold)
-    marks: list[bool] = []
-    for k in range(max(len(predicted), len(gold))):
-        p, g = (x[k] if k < len(x) else {} for x in (predicted, gold))
-        if isinstance(p, dict) and isinstance(g, dict):
-            marks += [name in p and same(p[name], value) for name, value in g.items()]
+
+from quarry.functions.text import dated, let, numeric, spaced
+
+#: Levels of nesting that a comparison follows; deeper values are an error, never a wrong answer.
+DEPTH = 8
+_ENDS = "array<struct<unit:string,p:string,g:string>>"
+
+
+def _facts(text: Column) -> Column:
+    """struct (words, number, day) of a JSON text, as far as it has them; the words of null are none."""
+    is_text, content = text.startswith('"'), F.coalesce(F.get(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>"), 0), F.lit("None"))
+    plain = let(content, spaced)
+
+    def of(words: Column) -> Column:
+        number = F.when(text.rlike("^[-0-9]"), text.try_cast("double")).when(~text.rlike("^[tfn]") & words.rlike("[0-9]"), numeric(words))
+        return F.struct(F.lower(words).alias("words"), number.alias("number"), F.when(is_text, dated(words)).alias("day"))
+
+    return let(plain, of)
+
+
+def _equal(end: Column) -> Column:
+    """True if the two sides of an end say the same; a side that is missing does not."""
+
+    def read(both: Column) -> Column:
+        p, g = both["p"], both["g"]
+        return (F.when(p["day"].isNotNull() & g["day"].isNotNull(), p["day"] == g["day"]).when(p["number"].isNotNull() & g["number"].isNotNull(), F.abs(p["number"] - g["number"]) < 1e-6)
+                .otherwise(p["words"] == g["words"]))
+
+    told = let(F.struct(_facts(end["p"]).alias("p"), _facts(end["g"]).alias("g")), read)
+    return F.when(end["p"].isNull(), False).when(end["p"] == end["g"], True).otherwise(told)
+
+
+def _ends(p: Column, g: Column, unit: Column | None, item: Column, depth: int) -> Column:
+    """The ends of two variants, p null if it is missing; item says that they stand in a list.
+
+    unit names the place to which ends count; without one, members of objects
+    are places of their own, and all else is one place.
+    """
+    sides = F.struct(p.alias("p"), g.alias("g"), p.try_cast("map<string,variant>").alias("p_map"), g.try_cast("map<string,variant>").alias("g_map"), p.try_cast("array<variant>").alias("p_list"), g.try_cast("array<variant>").alias("g_list"))
+
+    def walk(s: Column) -> Column:
+        objects, lists = s["p_map"].isNotNull() & s["g_map"].isNotNull(), s["p_list"].isNotNull() & s["g_list"].isNotNull()
+        apart = lists & (F.size(s["p_list"]) != F.size(s["g_list"]))
+        place = unit if unit is not None else F.lit("")
+        end = F.array(F.struct(place.alias("unit"), F.when(~apart, F.to_json(s["p"])).alias("p"), F.to_json(s["g"]).alias("g")))
+        members = F.transform(F.map_entries(s["g_map"]), lambda e: F.struct(e["key"].alias("key"), F.try_element_at(s["p_map"], e["key"]).alias("p"), e["value"].alias("g"), F.lit(False).alias("item")))
+        items = F.transform(s["g_list"], lambda x, i: F.struct(F.lit("").alias("key"), F.get(s["p_list"], i).alias("p"), x.alias("g"), F.lit(True).alias("item")))
+        below = F.when(objects & (F.size(s["g_map"]) > 0), members).when(lists & ~apart & (F.size(s["g_list"]) > 0), items)
+        if depth == 0:
+            deeper = F.when(below.isNotNull(), F.raise_error(F.lit("JSON values are nested deeper than a comparison follows; give it more depth")).cast(_ENDS)).otherwise(end)
         else:
-            marks.append(same(p, g))
-    return sum(marks) / len(marks) if marks else 1.0
+            inner = lambda c: _ends(c["p"], c["g"], unit if unit is not None else F.concat(c["key"], F.lit("/")), c["item"], depth - 1)
+            deeper = F.coalesce(F.flatten(F.transform(below, inner)), end)
+        # in a list, gold's empty object asks for nothing
+        return F.when(item & objects & (F.size(s["g_map"]) == 0), F.array().cast(_ENDS)).otherwise(deeper)
+
+    return let(sides, walk)
+
+
+def _columns(predicted: Column | str, gold: Column | str) -> tuple[Column, Column]:
+    return tuple(F.try_parse_json(F.col(x) if isinstance(x, str) else x) for x in (predicted, gold))
+
+
+def json_match(predicted: Column | str, gold: Column | str, depth: int = DEPTH) -> Column:
+    """True if two JSON texts match: objects by gold's members, lists place by place, scalars as the same date, number or words; null if either is null or no JSON.
+
+    Members that only the prediction has cost nothing, but an empty gold object matches an empty one only, outside lists.
+    """
+    p, g = _columns(predicted, gold)
+    found = _ends(p, g, F.lit(""), F.lit(False), depth)
+    return F.when(p.isNotNull() & g.isNotNull(), F.forall(found, _equal))
+
 
+def json_alignment(predicted: Column | str, gold: Column | str, depth: int = DEPTH) -> Column:
+    """The share of places of two JSON lists that match; null if either is null or no list.
 
-def _both(predicted: pa.Array, gold: pa.Array, compare) -> list:
-    return [None if p.as_py() is None or g.as_py() is None else compare(json.loads(p.as_py()), json.loads(g.as_py())) for p, g in zip(predicted, gold)]
+    Where both items are objects, each of gold's members is a place, else the item is one; an item that a list lacks is an empty object.
+    """
+    p, g = (x.try_cast("array<variant>") for x in _columns(predicted, gold))
+    none = F.try_parse_json(F.lit("{}"))
 
+    def share(s: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(s["p"]), F.size(s["g"])) - 1)
+        item = lambda i: _ends(F.coalesce(F.get(s["p"], i), none), F.coalesce(F.get(s["g"], i), none), None, F.lit(True), depth)
+        named = lambda i: F.transform(item(i), lambda e: F.struct(F.concat(i.cast("string"), F.lit("/"), e["unit"]).alias("unit"), e["p"].alias("p"), e["g"].alias("g")))
 
-@F.arrow_udf(BooleanType())
-def json_match(predicted: pa.Array, gold: pa.Array) -> pa.Array:
-    """same() of two JSON texts; null if either is null."""
-    return pa.array(_both(predicted, gold, same), pa.bool_())
+        def counted(ends: Column) -> Column:
+            units = lambda some: F.size(F.array_distinct(F.transform(some, lambda e: e["unit"])))
+            return let(units(ends), lambda n: F.when(n == 0, 1.0).otherwise((n - units(F.filter(ends, lambda e: ~_equal(e)))) / n))
 
+        either = (F.size(s["p"]) == 0) | (F.size(s["g"]) == 0)
+        return F.when(either, (F.size(s["p"]) == F.size(s["g"])).cast("double")).otherwise(let(F.flatten(F.transform(places, named)), counted))
 
-@F.arrow_udf(DoubleType())
-def json_alignment(predicted: pa.Array, gold: pa.Array) -> pa.Array:
-    """aligned() of the JSON texts of two lists, scalar items included; null if either is null."""
-    return pa.array(_both(predicted, gold, aligned), pa.float64())
+    return F.when(p.isNotNull() & g.isNotNull(), let(F.struct(p.alias("p"), g.alias("g")), share))

@@ -46,12 +46,12 @@ def spaced(s: Column) -> Column:
     return F.regexp_replace(stripped(s), r"(?U)\s+", " ")
 
 
-def _dated(plain: Column) -> Column:
+def dated(plain: Column) -> Column:
     return F.coalesce(*[F.when(plain.rlike(shape), F.try_to_date(plain, form)) for form, shape in DATE_FORMATS])
 
 
 def parse_date(s: Column) -> Column:
-    return let(spaced(s), _dated)
+    return let(spaced(s), dated)
 
 
 def coerce_number(s: Column, integer: bool = False) -> Column:
@@ -73,7 +73,7 @@ def values_match(predicted: Column, gold: Column) -> Column:
     """
 
     def facts(s: Column) -> Column:
-        return let(spaced(s), lambda t: F.struct(_dated(t).alias("day"), parse_number(t).alias("number"), F.lower(t).alias("words")))
+        return let(spaced(s), lambda t: F.struct(dated(t).alias("day"), parse_number(t).alias("number"), F.lower(t).alias("words")))
 
     def same(a: Column, b: Column) -> Column:
         return (F.when(a["day"].isNotNull() & b["day"].isNotNull(), a["day"] == b["day"])

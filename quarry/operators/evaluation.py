@@ -9,24 +9,16 @@ from quarry.functions.compare import json_match
 from quarry.functions.text import values_match
 
 
-def _matched(p: Column, g: Column, nested: bool) -> Column:
-    """values_match of scalars; if nested, objects and lists, as JSON texts, are compared member by member."""
-    if not nested:
-        return values_match(p, g)
-    inside = p.rlike(r"^\s*[{\[]") & g.rlike(r"^\s*[{\[]") & F.try_parse_json(p).isNotNull() & F.try_parse_json(g).isNotNull()
-    return F.coalesce(json_match(F.when(inside, p), F.when(inside, g)), values_match(p, g))
-
-
 def field_scores(predicted: DataFrame, gold: DataFrame, keys: list[str], nested: bool = False) -> DataFrame:
     """One row per document: field_accuracy, precision, recall, f1, hallucination_rate.
 
     Both sides hold rows (*keys, field, value); a field is there if its row is.
-    With nested, values that are objects or lists are compared by their members.
+    With nested, values are JSON texts of any depth, and compared by their types.
     """
     p = predicted.select(*keys, "field", F.col("value").alias("p"), F.lit(True).alias("in_p"))
     g = gold.select(*keys, "field", F.col("value").alias("g"), F.lit(True).alias("in_g"))
     both = p.join(g, [*keys, "field"], "full_outer").withColumns({"in_p": F.coalesce("in_p", F.lit(False)), "in_g": F.coalesce("in_g", F.lit(False))})
-    hit = F.col("in_p") & F.col("in_g") & _matched(F.col("p"), F.col("g"), nested)
+    hit = F.col("in_p") & F.col("in_g") & F.coalesce((json_match if nested else values_match)(F.col("p"), F.col("g")), F.lit(False))
     counts = both.groupBy(*keys).agg(F.count_if(hit).alias("tp"), F.count_if("in_p").alias("n_p"), F.count_if("in_g").alias("n_g"), F.count_if(F.col("in_p") & ~F.col("in_g")).alias("extra"))
     return counts.select(*keys, *scores(F.col("tp"), F.col("n_p"), F.col("n_g"), F.col("extra")))
 

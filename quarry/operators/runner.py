@@ -29,7 +29,7 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     no JSON object is an error. error is always null.
     """
     pairs = pairs.withColumn("predicted", require_object("predicted")).withColumn("gold", require_object("gold"))
-    scored = field_scores(json_fields(pairs, "predicted", KEYS), json_fields(pairs, "gold", KEYS), KEYS, nested=True)
+    scored = field_scores(json_fields(pairs, "predicted", KEYS, as_json=True), json_fields(pairs, "gold", KEYS, as_json=True), KEYS, nested=True)
     # without fields on either side all is right, and nothing is made up
     whole = [F.coalesce(m, F.lit(0.0 if m == "hallucination_rate" else 1.0)).alias(m) for m in METRICS]
     return pairs.join(scored, KEYS, "left").select("engine", F.col("name").alias("document"), *whole, _type_correctness("predicted", "schema").alias("type_correctness"), F.lit(None).cast("string").alias("error"))

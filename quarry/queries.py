@@ -436,22 +436,35 @@ def result_rows(spark, sf_dir):
                        F.get_json_object("schema", "$.type").alias("schema_type"))
 
 
-_NESTED = [("'{\"a\": \"$1,250.00\", \"b\": [1, 2]}'", "'{\"a\": 1250, \"b\": [\"1\", 2.0]}'", "true"), ("'{\"a\": 1, \"x\": 2}'", "'{\"a\": 1}'", "true"), ("'{\"a\": 1}'", "'{\"a\": 1, \"x\": 2}'", "false"), ("'[1, 2]'", "'[1, 2, 3]'", "false"),
-           ("'{\"d\": {\"on\": \"January 5, 2024\"}}'", "'{\"d\": {\"on\": \"2024-01-05\"}}'", "true"), ("'[[\"a\"], {}]'", "'[[\"A \"], {}]'", "true"), ("'{\"a\": 1}'", "'{}'", "false"), ("'\"INV-1\"'", "'\"ABC-1\"'", "true")]
+_ID = "cast(event_id as varchar(20))"
+#: Pairs of nested values that vary by row, as SQL texts, and whether they match; <> stands for the row's id, <year> for the last digits of a year.
+_NESTED = [('{"a": "$<>.00", "b": [1, "<>"]}', '{"a": <>, "b": ["1", <>.0]}', True), ('{"a": <>, "x": 2}', '{"a": <>}', True), ('{"a": <>}', '{"a": <>, "x": 2}', False), ("[<>, 2]", "[<>, 2, 3]", False),
+           ('{"d": {"on": "January 5, 1<year>"}}', '{"d": {"on": "1<year>-01-05"}}', True), ('[["a <>"], {}]', '[["A  <> "], {"x": <>}]', False), ('{"a": <>}', "{}", False), ('"INV-<>"', '"ABC-<>"', True), ('{"n": <>e20}', '{"n": <>20}', False),
+           ('{"n": [<>e2]}', '{"n": ["<>00"]}', True), ('{"a": 1<>}', '{"a": <>}', False), ('{"a": {"b": {"c": [{"d": "<>"}, null]}}}', '{"a": {"b": {"c": [{"d": <>}, "none"]}}}', True), ('{"a": {"b": [<>]}}', '{"a": {"b": {"c": <>}}}', True), ("true", "<>", False)]
 
 
-@query(f"select event_id, {case('event_id', [w for _, _, w in _NESTED])} as matches from events")
+def _shaped(text: str) -> str:
+    return "concat('" + text.replace("<>", f"', {_ID}, '").replace("<year>", "', substr(cast(100 + event_id % 900 as varchar(3)), 1, 3), '") + "')"
+
+
+@query(f"select event_id, {case('event_id', [str(w).lower() for _, _, w in _NESTED])} as matches from events")
 def nested_value_match(spark, sf_dir):
-    p, g = (F.expr(case("event_id", [x[k] for x in _NESTED])) for k in (0, 1))
-    pairs = table(spark, sf_dir, "events").select("event_id", p.alias("p"), g.alias("g"))
-    return pairs.select("event_id", json_match("p", "g").alias("matches"))
+    p, g = (F.expr(case("event_id", [_shaped(x[k]) for x in _NESTED]).replace("varchar(20)", "string").replace("varchar(3)", "string")) for k in (0, 1))
+    return table(spark, sf_dir, "events").select("event_id", json_match(p, g).alias("matches"))
 
 
-@query("select event_id, case event_id % 4 when 0 then 0.75 when 1 then 0.5 when 2 then 1.0 else 0.0 end::double as alignment from events")
+@query("""select event_id, case when n = 0 or m = 0 then (n = m)::int::double when event_id % 2 = 0 then least(n, m)::double / greatest(n, m)
+else (least(n, m) + (least(n, m) + 1) // 2)::double / (2 * n) end as alignment from (select event_id, event_id % 5 as n, event_id % 3 as m from events)""")
 def scalar_array_alignment(spark, sf_dir):
-    shapes = [("[{\"a\": 1, \"b\": 2}, {\"a\": 3, \"b\": 9}]", "[{\"a\": 1, \"b\": 2}, {\"a\": 3, \"b\": 4}]"), ("[1, 2, 3, 4]", "[1, 2]"), ("[]", "[]"), ("[1]", "[]")]
-    p, g = (F.expr(case("event_id", [f"'{x[k]}'" for x in shapes])) for k in (0, 1))
-    return table(spark, sf_dir, "events").select("event_id", p.alias("p"), g.alias("g")).select("event_id", json_alignment("p", "g").alias("alignment"))
+    """Lists of numbers, and lists of objects of which every second has a wrong member; lengths vary by row."""
+
+    def listed(n: int, wrong: str) -> F.Column:
+        at = F.filter(F.sequence(F.lit(0), F.lit(4)), lambda k: k < F.col("event_id") % n)
+        number = F.transform(at, lambda k: (F.col("event_id") + k).cast("string"))
+        pair = F.transform(at, lambda k: F.concat(F.lit('{"a": '), F.col("event_id").cast("string"), F.lit(', "b": "'), (k + F.expr(wrong) * (k % 2)).cast("string"), F.lit('"}')))
+        return F.concat(F.lit("["), F.array_join(F.when(F.col("event_id") % 2 == 0, number).otherwise(pair), ","), F.lit("]"))
+
+    return table(spark, sf_dir, "events").select("event_id", json_alignment(listed(3, "1"), listed(5, "0")).alias("alignment"))
 
 
 def _word_rows(text: str, **_) -> list[dict]:

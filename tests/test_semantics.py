@@ -162,10 +162,27 @@ def test_provider_and_composite_engines():
     assert engines.extraction_prompt("t", {}, "document").endswith("Document:\nt")
 
 
-def test_nested_values():
-    assert compare.aligned([{"a": 1, "b": 2}, {"a": 3, "b": 5}], [{"a": 1, "b": 2}, {"a": 3, "b": 4}]) == 0.75
-    assert compare.aligned([{"a": 1}, {"b": 9}], [{"a": 1}]) == 1.0 and compare.aligned([1, 2], [1]) == 0.5 and compare.aligned([{}], [{}]) == 1.0
-    assert compare.same({"a": None}, {"a": "none"}) and not compare.same({}, {"a": 1}) and compare.same(True, "true") and not compare.same(True, 1)
+@pytest.mark.parametrize("predicted, gold, share", [
+    ('[{"a": 1, "b": 2}, {"a": 3, "b": 5}]', '[{"a": 1, "b": 2}, {"a": 3, "b": 4}]', 0.75), ('[{"a": 1}, {"b": 9}]', '[{"a": 1}]', 1.0), ("[1, 2]", "[1]", 0.5), ("[{}]", "[{}]", 1.0), ("[]", "[]", 1.0), ("[]", "[1]", 0.0),
+    ('[{"a": 1}]', '[{"a": 1}, {"b": 2, "c": 3}]', 1 / 3), ('[[1, 2], {"a": [1]}]', '[[1, 3], {"a": ["1"], "b": {}}]', 1 / 3), ('[{"a": 1}]', "[{}]", 1.0), ("[1]", '[{"a": 1}]', 1.0), ('[{"x": 1}]', '[{"a/b": {"c": 1, "d": 2}}]', 0.0), ("{}", "[]", None)])
+def test_alignment_of_lists(spark, predicted, gold, share):
+    got = spark.range(1).select(compare.json_alignment(F.lit(predicted), F.lit(gold)).alias("s")).first().s
+    assert got == share if share is None else abs(got - share) < 1e-12
+
+
+@pytest.mark.parametrize("predicted, gold, same", [
+    ('{"a": null}', '{"a": "none"}', True), ("{}", '{"a": 1}', False), ("true", '"true"', True), ("true", "1", False), ("1e20", "120", False), ('"1e20"', "120", True), ("1e-07", "0.0000001", True), ("100000000000000000000", "1e20", True),
+    ('{"a": {}}', '{"a": {}}', True), ('{"a": {"b": 1}}', '{"a": {}}', False), ('[{"b": 1}]', "[{}]", True), ("[[]]", "[[]]", True), ("[[1]]", "[[]]", False), ('{"a": {"b": 1}}', '{"a": 1}', True), ('{"a": [1]}', '{"a": {"b": 1}}', True),
+    ('"05.01.2024"', '"Jan 5, 2024"', True), ('"A  b "', '"a B"', True), ('"-"', '"-"', True), ('"$1,250.00"', "1250", True), (None, "1", None), ("[" * 8 + "7" + "]" * 8, "[" * 8 + '"7"' + "]" * 8, True)])
+def test_match_of_nested_values(spark, predicted, gold, same):
+    df = spark.createDataFrame([(predicted, gold)], "p string, g string")
+    assert df.select(compare.json_match("p", "g").alias("m")).first().m == same
+
+
+def test_what_is_nested_too_deep_is_an_error(spark):
+    deep = F.lit("[" * 9 + "]" * 9)
+    with pytest.raises(Exception, match="deeper"):
+        spark.range(1).select(compare.json_match(deep, F.lit("[" * 9 + "1" + "]" * 9), depth=6)).collect()
 
 
 def test_evaluation_folder_to_report(spark, tmp_path):
