@@ -54,7 +54,7 @@ def run_benchmark(cases: DataFrame, router: Router, engines: list[str] | None =
     asked = ran.withColumn("data", F.coalesce(P.normalize_envelopes(F.col("raw")), F.lit("{}")))
     kept = asked.withColumn("checked", checked("data", "schema")).select("name", "engine", "gold", "latency_ms", "cost_usd", "checked.*").persist()
     keys = ["name", "engine"]
-    scored = field_scores(json_fields(kept, "data", keys), json_fields(kept, "gold", keys), keys, nested=True)
+    scored = field_scores(json_fields(kept, "data", keys, as_json=True), json_fields(kept, "gold", keys, as_json=True), keys, nested=True)
     # without fields on either side there is nothing to score
     full = lambda c: F.coalesce(c, F.lit(1.0)).alias(c)
     out = kept.join(scored, keys, "left").select("engine", F.col("name").alias("document"), full("field_accuracy"), full("f1"), "schema_compliance", "latency_ms", "cost_usd")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import inference
+from quarry.operators import inference, reports
 from quarry.queries import _FIRST as FIRST
+from quarry.queries import _WINDOWS as WINDOWS
 from quarry.queries import query, table
 from quarry.sources.files import shared_folder
+from quarry.sql import table_functions
 from quarry.streaming.chain import PROVIDER, chain_stream
 
 
@@ -62,3 +64,57 @@ def stream_digest_chain(spark, sf_dir):
     finally:
         spark.conf.set(PROVIDER[0], before)
     return spark.read.parquet(f"{folder}/rows").select("conv_id", "idx", "digest", "previous_digest", "rows_returned", "rows_added")
+
+
+@query(f"select doc_id, cast(start / 900 as int) as idx, start, sha256(chunk) as chunk_sha256 from ({WINDOWS})")
+def chunk_text_function(spark, sf_dir):
+    """The chunker as a table function in SQL."""
+    table_functions.register(spark)
+    table(spark, sf_dir, "documents").select("doc_id", "text").createOrReplaceTempView("quarry_documents")
+    return spark.sql("select doc_id, idx, start, sha2(chunk, 256) as chunk_sha256 from chunk_text(table(quarry_documents), 'text', 1000, 100)")
+
+
+@query("""select user_id, cast(st // 4 as int) as idx, '[' || string_agg('{"e": ' || event_id || ', "t": "' || event_type || '"}', ', ' order by pos) || ']' as chunk
+from (select *, unnest(range(0, greatest(n - 1, 1), 4)) as st from (select *, row_number() over (partition by user_id order by event_id) - 1 as pos, count(*) over (partition by user_id) as n from events))
+where pos between st and st + 4 group by 1, 2, st""")
+def chunk_rows_function(spark, sf_dir):
+    """Windows over the ordered rows of a partition, as a table function with a table argument."""
+    table_functions.register(spark)
+    table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("e"), F.col("event_type").alias("t")).createOrReplaceTempView("quarry_events")
+    return spark.sql("select user_id, idx, chunk from chunk_rows(table(quarry_events) partition by (user_id) order by (e), 5, 1, 'user_id')")
+
+
+@query("""select page_id, 0 as idx, length(html) - length(sec) as start, cast(length(html) as bigint) as "end", sha256(sec) as chunk_sha256
+from (select page_id, html, regexp_extract(html, '<h[1-6][^>]*>.*', 0, 'is') as sec from pages)""")
+def chunk_sections_function(spark, sf_dir):
+    table_functions.register(spark)
+    table(spark, sf_dir, "pages").select("page_id", "html").createOrReplaceTempView("quarry_pages")
+    return spark.sql("select page_id, idx, start, `end`, sha2(chunk, 256) as chunk_sha256 from chunk_sections(table(quarry_pages), 'html', 1000)")
+
+
+def _word_counts(text: str) -> list[dict]:
+    if len(text) % 11 == 0:
+        raise ValueError("eleven")
+    return [{"w": len(text.split(" ")), "n": len(text)}, {"n": 0.0}]
+
+
+@query("""select doc_id, pos, case pos when 0 then '{"n":' || length(text) || ',"w":' || len(string_split(text, ' ')) || '}' else '{"n":0.0}' end as found, null as error from documents, (select unnest([0, 1]) as pos) where length(text) % 11 <> 0
+union all select doc_id, null, null, 'ValueError: eleven' from documents where length(text) % 11 = 0""")
+def extract_rows_function(spark, sf_dir):
+    """An extractor as a table function: a row for each row found, one with the error for a text that fails."""
+    table_functions.register(spark, word_counts=_word_counts)
+    table(spark, sf_dir, "documents").select("doc_id", "text").createOrReplaceTempView("quarry_documents")
+    return spark.sql("select doc_id, pos, found, error from word_counts(table(quarry_documents), 'text')")
+
+
+_RUNS = "select *, concat('engine', cast(o_orderkey % 3 as varchar(1))) as engine, case when o_orderkey % 10 <> 0 then o_orderpriority end as document_class, (o_orderkey % 8) / 8.0 as f1, o_orderkey % 100 as latency_ms from orders"
+
+
+@query(f"""select engine, document_class, grouping_id(engine, document_class) as level, count(*) as documents, round(avg(f1), 9) as f1, count(*) as timed from ({_RUNS}) group by cube (engine, document_class)""")
+def report_cube(spark, sf_dir):
+    """Scores of two runs, each a cube of its own, merged to one report."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("quarry_orders")
+    scores = spark.sql(_RUNS.replace("from orders", "from quarry_orders").replace("varchar(1)", "string")).withColumn("f1", F.col("f1").cast("double"))
+    runs = [reports.cube(scores.where(F.col("o_orderkey") % 2 == k), metrics=["f1"]) for k in (0, 1)]
+    rows = reports.shown(reports.merged(runs))
+    return rows.select("engine", "document_class", "level", "documents", F.round("f1", 9).alias("f1"), "timed")
