@@ -2,15 +2,19 @@
 
 A table turns a unit vector by three rounds of random signs and a fast Hadamard
 transform (vectors are padded to a power of two) and assigns it to the nearest
-signed axis. One axis has 2d values; beyond some 2d * BLOCK vectors a key joins
-as many axes of independent rotations as keep buckets near BLOCK vectors, so
-that a query's work does not grow with the table. Queries probe the PROBES keys
-nearest to them in each of TABLES tables, and the vectors in those buckets are
-ranked by exact inner product of the original vectors. A bucket with more than
-BLOCK vectors or queries is cut into blocks of either. Tasks return no more than
-k rows a query, ties included only in order of id. Queries that find fewer than
-k this way, though more vectors have their dimension, are ranked over all of
-those.
+signed axis. One axis has 2d values; beyond some 2d * BLOCK vectors a key may
+join as many axes of independent rotations as keep buckets near BLOCK vectors,
+so that a query's work does not grow with the table. How many axes it joins, and
+how many of the keys nearest to it a query probes in each of TABLES tables, is
+measured: of all plans whose recall on a sample of the vectors reaches GOAL the
+one is taken that reads the smallest share of them. Neighbours are nearer in the
+whole table than in a sample, so the sample's recall is a lower bound. Vectors
+without structure get one axis and as many probes as it takes, up to all keys,
+which is an exact search. The vectors in the probed buckets are ranked by exact
+inner product of the original vectors. A bucket with more than BLOCK vectors or
+queries is cut into blocks of either. Tasks return no more than k rows a query,
+ties included only in order of id. Queries that find fewer than k this way,
+though more vectors have their dimension, are ranked over all of those.
 """
 
 from __future__ import annotations
@@ -27,7 +31,15 @@ from quarry.llm.common import stored
 from quarry.llm.embedding_dedup import pack, usable
 
 TABLES = 12
+#: Keys that a query probes in a table, at least; plans try this and its multiples.
 PROBES = 12
+MULTIPLES = (1, 2, 4, 16)
+#: Recall that a plan must reach on the sample.
+GOAL = 0.95
+#: Vectors of a dimension that plans are measured on, at most, their components together, and queries among them.
+SAMPLE, COMPONENTS, ASKED = 4096, 1 << 21, 100
+#: Dimensions that are measured, those of the most vectors; queries of others probe all keys.
+DIMENSIONS = 16
 #: Vectors, or queries, of a bucket that one task ranks at once, about.
 BLOCK = 16_384
 #: Rows of the small buckets that one group holds, about.
@@ -79,13 +91,41 @@ def probed_keys(turned: list[np.ndarray], probes: int) -> np.ndarray:
     return keys
 
 
+def measured(x: np.ndarray, most_axes: int, k: int, tables: int) -> tuple[int, int]:
+    """(axes, probes) of the plan that reads the smallest share of a sample of vectors with a recall of GOAL; few vectors probe all keys of one axis."""
+    everything = 1, 2 << max(0, (x.shape[1] - 1).bit_length())
+    if len(x) <= 4 * k:
+        return everything
+    unit = x / np.abs(x).max(axis=1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    asked = np.arange(min(ASKED, len(x)))
+    dots = x[asked] @ x.T
+    dots[asked, asked] = -np.inf
+    best = np.argpartition(-dots, k - 1, axis=1)[:, :k]
+    plans = [(1.0, *everything)]
+    for axes in range(1, most_axes + 1):
+        turned = list(rotations(unit, tables * axes))
+        groups = [turned[t * axes : (t + 1) * axes] for t in range(tables)]
+        keys = [probed_keys(g, 1)[:, 0] for g in groups]
+        wide = [probed_keys([y[asked] for y in g], min(PROBES * MULTIPLES[-1], everything[1] ** axes)) for g in groups]
+        for probes in (PROBES * m for m in MULTIPLES):
+            reached = np.zeros(dots.shape, bool)
+            for own, probed in zip(keys, wide):
+                for row, some in zip(reached, probed):
+                    row |= np.isin(own, some[:probes])
+            if np.take_along_axis(reached, best, 1).mean() >= GOAL:
+                plans.append((float(reached.mean()), axes, probes))
+                break  # more probes read more
+    return min(plans)[1:]
+
+
 def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row-wise inner products in double, the same for the same two vectors wherever they stand."""
     return (a * b).sum(axis=1)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-           tables: int = TABLES, probes: int = PROBES, axes: int | None = None) -> DataFrame:
+           tables: int = TABLES, axes: int | None = None) -> DataFrame:
     """(query_id, rank, id_col, score): the k vectors found with the largest inner product, other than the query's own.
 
     Vectors that are null, empty, zero or hold null or non-finite components,
@@ -94,7 +134,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     go to the smaller id. A query has k rows, or all vectors of its dimension if
     they are fewer; one that is alone with its dimension has no row. Other
     columns are ignored, whatever their names. No vectors or no queries give an
-    empty result. axes sets how many axes a key joins; by default joined() does.
+    empty result. A key joins no more than axes axes, by default as joined() says;
+    how many it joins is measured.
     """
 
     def one_each(df: DataFrame) -> DataFrame:
@@ -106,20 +147,30 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     # rows carry vectors at the width they came in
     kind = "f4" if all(df.schema[vector_col].dataType.elementType.typeName() == "float" for df in (vectors, queries)) else "f8"
 
-    def prepared(df: DataFrame, name: str, most: int) -> DataFrame:
+    dims = base.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(DIMENSIONS).collect()
+    plans = {}
+    for dim, count in dims:
+        rows = min(SAMPLE, COMPONENTS // dim + 1)
+        # some rows more, as hashes stray; no more than the sample come
+        drawn = base.where((F.size("v") == dim) & (F.pmod(F.xxhash64("id"), F.lit(1 << 32)) < min(1.0, 1.5 * rows / count) * (1 << 32)))
+        sample = drawn.orderBy(F.xxhash64("id"), "id").limit(rows).select("v").toPandas()
+        plans[dim] = measured(np.array(sample["v"].tolist(), float), axes or joined(count, dim), k, tables)
+
+    def prepared(df: DataFrame, name: str, asks: bool) -> DataFrame:
         def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for at, x in pack(pdf["v"]):
                     unit = x / np.abs(x).max(axis=1, keepdims=True)
                     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                    each = axes or joined(n, x.shape[1])
+                    each, probes = plans.get(x.shape[1], (1, 2 << max(0, (x.shape[1] - 1).bit_length())))
+                    most = probes if asks else 1
                     turns = rotations(unit, tables * each)
                     keys = np.concatenate([t * 2**48 + probed_keys([next(turns) for _ in range(each)], most) for t in range(tables)], axis=1)
                     yield pd.DataFrame({"id": pdf["id"].to_numpy()[at], "dim": np.int32(x.shape[1]), "x": [r.tobytes() for r in x.astype(kind)], "keys": list(keys)})
 
         return stored(df.mapInPandas(hashed, "id long, dim int, x binary, keys array<long>"), name)
 
-    index, asked = prepared(base, "ann-index", 1), prepared(one_each(queries), "ann-queries", probes)
+    index, asked = prepared(base, "ann-index", False), prepared(one_each(queries), "ann-queries", True)
 
     def places(df: DataFrame, asks: bool) -> DataFrame:
         return df.select("id", "dim", "x", F.explode("keys").alias("bucket")).withColumn("asks", F.lit(asks))

@@ -51,7 +51,35 @@ def test_split_buckets_and_joined_axes(spark, monkeypatch, block, axes):
     assert len(got) == len(want) and len(got & want) >= 0.97 * len(want)
 
 
-def test_axes_join_with_the_number_of_vectors():
+def recall(spark, x, k=20, **options):
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    asked = df.where("vec_id % 20 = 0")
+    x = x.astype(np.float32).astype(float)
+    dots = x[::20] @ x.T
+    dots[np.arange(len(dots)), np.arange(len(dots)) * 20] = -np.inf
+    want = {(int(q) * 20, int(i)) for q in range(len(dots)) for i in np.argsort(-dots[q], kind="stable")[:k]}
+    got = {(r.query_id, r.vec_id) for r in ann.search(df, asked, k, **options).collect()}
+    assert len(got) == len(want)
+    return len(got & want) / len(want)
+
+
+@pytest.mark.parametrize("axes", [1, 2, 3])
+def test_recall_holds_whatever_axes_may_join(spark, axes):
+    """The given vectors have no near neighbours: keys that join axes would find a fifth of them, and the plan knows."""
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    x = np.array([r.embedding for r in spark.read.parquet(path).orderBy("vec_id").collect()])
+    assert recall(spark, x, axes=axes) >= 0.9
+
+
+def test_plans_follow_the_vectors():
+    rng = np.random.default_rng(6)
+    plain = rng.normal(size=(2000, 64))
+    near = np.repeat(rng.normal(size=(60, 64)), 40, axis=0) + 0.1 * rng.normal(size=(2400, 64))
+    assert ann.measured(plain, 3, 20, 12)[0] == 1 and ann.measured(near, 2, 20, 12)[0] == 2
+    assert ann.measured(plain[:50], 2, 20, 12) == (1, 128)  # few vectors: all keys
+
+
+def test_axes_that_may_join_grow_with_the_vectors():
     assert [ann.joined(n, 64) for n in (0, 500, 51_282, 2_000_000, 3_000_000, 10**9)] == [1, 1, 1, 1, 2, 3]
 
 
