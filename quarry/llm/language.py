@@ -308,7 +308,7 @@ class Labeller:
     def _blocks(self, ids: np.ndarray, first: np.ndarray, at: int, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """Of the piece at a place: scores as exponentials by place in the block and block, at each place the blocks where a chain begins, and each block's transition product.
 
-        Words that fill the last block up have even scores; their products are no one's.
+        What fills the last block up is a chain of its own, so that nothing comes back from it.
         """
         own = ids[at : at + PIECE]
         n, k = -(-len(own) // BLOCK), self.k
@@ -316,7 +316,10 @@ class Labeller:
         scores = self.known.table[own]
         e[: len(own)] = np.exp(scores - scores.max(axis=1, keepdims=True))
         e = e.reshape(n, BLOCK, k).transpose(1, 0, 2).copy()
-        row, place = np.divmod(first[np.searchsorted(first, at) : np.searchsorted(first, at + len(own))] - at, BLOCK)
+        starts = first[np.searchsorted(first, at) : np.searchsorted(first, at + len(own))] - at
+        if len(own) % BLOCK:
+            starts = np.append(starts, len(own))
+        row, place = np.divmod(starts, BLOCK)
         begins = [np.zeros(0, np.int64)] * BLOCK
         if len(place):
             order = np.argsort(place, kind="stable")
@@ -324,8 +327,9 @@ class Labeller:
             begins = [row[order[a:b]] for a, b in zip(cuts, cuts[1:])]
         product = np.tile(np.eye(k), (n, 1, 1))
         for i, rows in enumerate(begins):
+            ended = product[rows].sum(axis=2, keepdims=True)
             product = (product.reshape(-1, k) @ move).reshape(n, k, k)
-            product[rows] = start
+            product[rows] = ended * start
             product *= e[i][:, None, :]
             if i % EASE == EASE - 1:
                 product /= product.max(axis=(1, 2), keepdims=True)

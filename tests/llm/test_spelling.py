@@ -60,6 +60,7 @@ def test_variants_equal_brute_force(spark, monkeypatch):
     base = ["".join(rng.choices("abé", k=rng.randint(5, 9))) for _ in range(60)] + ["aaaaa", "aaaaaa", "aaaaaaa", "ababababab", "bababababa"]
     words = base + [edited(rng, w, "abéz") for w in base for _ in range(4)]
     rows = [(k, " ".join(rng.choices(words, k=400)).title()) for k in range(20)] + [(20, None), (21, ""), (22, "... 123"), (23, "×÷ÿÀx " * 3), (24, "Q" * 60_000 + " "), (25, ("q" * 60_000 + " ") * 3), (None, "words of nothing " * 4), (1, "double rows " * 3), (1, "double rows " * 3)]
+    rows += [(60 + k, "Chainword " * 20 + "chainwerd " * 8 + "chainwerds " * 3) for k in range(2)]
     docs = docs_of(spark, [(i, t, "s") for i, t in rows]).withColumn("word", F.lit("mine")).withColumn("n", F.lit(1)).withColumn("id", F.lit(2)).withColumn("m", F.lit(3))
     want = brute(rows)
     assert got(docs) == want
