@@ -182,7 +182,8 @@ def manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, source_col: str =
     own = leaf(*[F.col(f"`{f}`") for f in fields])
     leaves = docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).alias("id"), own.alias("own"), (altered if altered is not None else F.lit(None).cast("string")).alias("other"))
     leaves = leaves.select("source", "id", F.unhex("own").alias("node"), F.when(F.col("other") != F.col("own"), F.unhex("other")).alias("other"))
-    ranked = _ranked(leaves, "source", ["id", "node", "other"], "merkle-leaves")
+    # stored first: a range partitioning reads its rows twice, and texts are long
+    ranked = _ranked(stored(leaves, "merkle-leaves"), "source", ["id", "node", "other"], "merkle-order")
     # ids as text: a null would make numbers of them in pandas
     blocks = stored(_blocks(ranked.withColumn("id", F.col("id").cast("string")), ["id", "other"]), "merkle-blocks")
     whole = _paths(blocks, top)
