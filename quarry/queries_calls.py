@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import inference, reports
+from quarry.operators import inference, reports, runner
 from quarry.queries import _FIRST as FIRST
 from quarry.queries import _WINDOWS as WINDOWS
 from quarry.queries import query, table
+from quarry.sources import folders
 from quarry.sources.files import shared_folder
 from quarry.sql import table_functions
 from quarry.streaming.chain import PROVIDER, chain_stream
@@ -118,3 +119,20 @@ def report_cube(spark, sf_dir):
     runs = [reports.cube(scores.where(F.col("o_orderkey") % 2 == k), metrics=["f1"]) for k in (0, 1)]
     rows = reports.shown(reports.merged(runs))
     return rows.select("engine", "document_class", "level", "documents", F.round("f1", 9).alias("f1"), "timed")
+
+
+@query("""select concat('e', cast(s_suppkey % 3 as varchar)) as engine, cast(s_suppkey as varchar) as document, case when s_suppkey % 5 = 0 then 0.5 else 1.0 end::double as field_accuracy,
+case when s_suppkey % 4 = 0 then 1.0 / 3 else 0.0 end::double as hallucination_rate, case when s_suppkey % 2 = 0 then 1.0 else 0.5 end::double as type_correctness from supplier where s_suppkey % 3 <> 1""")
+def evaluation_folder(spark, sf_dir):
+    """Predictions and gold of every supplier written as a folder, and those of two engines of three read and scored: the filter keeps the rest unopened."""
+    folders.register(spark)
+    folder = shared_folder(spark)
+    row = lambda *more: F.to_json(F.struct(F.col("s_name").alias("name"), *more))
+    nation = (F.col("s_nationkey") + F.when(F.col("s_suppkey") % 5 == 0, 1).otherwise(0)).alias("nation")
+    made = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("e"), (F.col("s_suppkey") % 3).cast("string")).alias("engine"), F.col("s_suppkey").cast("string").alias("name"),
+        row(nation, F.when(F.col("s_suppkey") % 4 == 0, "made up").alias("more")).alias("predicted"), row(F.col("s_nationkey").alias("nation")).alias("gold"),
+        F.when(F.col("s_suppkey") % 2 == 0, '{"properties": {"name": {"type": "string"}, "nation": {"type": "integer"}}}').otherwise('{"properties": {"name": {"type": "string"}, "nation": {"type": "string"}}}').alias("schema"))
+    made.write.format("extraction_evaluation").mode("append").save(folder)
+    pairs = spark.read.format("extraction_evaluation").load(folder).where(F.col("engine").isin("e0", "e2"))
+    return runner.score_pairs(pairs).select("engine", "document", "field_accuracy", "hallucination_rate", "type_correctness")
