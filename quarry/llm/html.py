@@ -8,9 +8,10 @@ hold a hash. Subtrees that recur on PAGES of them are deleted with their blocks.
 What does not recur, as on a host with few pages, goes by what HTML says of it:
 elements that are no content by their tag (menus, asides, footers, forms), by
 being hidden, or by a class, id or role all of whose words name chrome. Neither
-such a name nor a tag deletes an element that holds the page's articles, and
-running text inside an article (paragraphs, headings, lists, tables) is never
-template unless all of it is links: pages quote each other.
+such a name nor a tag deletes an element that holds the page's articles. Inside
+an article an id names a section and says nothing of chrome, and running text
+(paragraphs, headings, lists, tables) goes neither by a name nor as template
+unless all of it is links: pages quote each other.
 """
 
 from __future__ import annotations
@@ -31,14 +32,13 @@ from quarry.llm.common import stored
 
 #: A subtree is template if it is on so many pages of its host of different content, whatever the host's size.
 PAGES = 5
-#: Running text of more characters is never template, within an article or not.
-LONG = 300
 #: Recurring subtrees that are broadcast, 8 bytes each, at most; beyond, pages are joined with them.
 HELD = 1_000_000
 #: Element names by what they do to text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
 DROPPED = set("head script style noscript template nav footer aside form iframe svg math canvas object audio video button select textarea input dialog menu title datalist map".split())
+UNSEEN = set("head script style noscript template svg math canvas object audio video datalist map".split())
 BLOCK = set("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul caption form".split())
 FLOW = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption hr".split())
 CLOSES_P = BLOCK | {"nav", "footer", "aside", "menu"}
@@ -70,8 +70,8 @@ class Node:
         self.hash, self.size, self.linked, self.holds, self.names = 0, 0, 0, frozenset(), None
 
 
-def tree(html: str) -> Node:
-    """The elements of a page; unclosed ones end with their parent, stray end tags are ignored."""
+def tree(html: str, marks: bool = True) -> Node:
+    """The elements of a page; unclosed ones end with their parent, stray end tags are ignored. Without marks no element counts as inside of an article."""
     root = Node("#root", "", False)
     stack, open_, at, lower = [root], Counter(), 0, None
 
@@ -115,7 +115,7 @@ def tree(html: str) -> Node:
                     if stack[k].tag in ends:
                         end(k)
                         break
-        node = Node(tag, m[4].strip(), stack[-1].inside or stack[-1].tag in ("article", "main"))
+        node = Node(tag, m[4].strip(), marks and (stack[-1].inside or stack[-1].tag in ("article", "main")))
         stack[-1].children.append(node)
         if tag in RAW:
             if lower is None:
@@ -168,7 +168,8 @@ def named(node: Node) -> str:
             if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
                 node.names = "hidden"
             else:
-                for name in " ".join((a.get("class", ""), a.get("id", ""), a.get("role", ""))).split():
+                text = node.inside and node.tag in FLOW and node.linked < node.size
+                for name in () if text else " ".join((a.get("class", ""), "" if node.inside else a.get("id", ""), a.get("role", ""))).split():
                     words = set(re.findall(r"[A-Za-z][a-z]*|[A-Z]+", name)) if not name.islower() else set(re.findall(r"[a-z]+", name))
                     words = {w.lower() for w in words}
                     for kind, some in (("comments", COMMENTS), ("chrome", CHROME)):
@@ -205,11 +206,12 @@ def regions(root: Node) -> list[Node]:
 class Page:
     """A page's blocks of text, the template subtrees they may lie in, and the hashes of all subtrees that may be template."""
 
-    def __init__(self, html: str):
-        root = tree(html)
+    def __init__(self, html: str, marks: bool = True):
+        root = tree(html, marks)
         order = measure(root)
-        tops = regions(root)
+        tops = regions(root) if marks else [root]
         whole = sum(t.size for t in tops)
+        self.marks = marks
         self.blocks: list[str] = []
         self.at: list[int] = []
         self.nodes: list[int] = []
@@ -224,11 +226,12 @@ class Page:
             return False
         if "article" in node.holds or "main" in node.holds or node.inside and 2 * node.size > whole:
             return False
-        return node.tag not in FLOW or node.size <= LONG and (not node.inside or node.linked == node.size)
+        return node.tag not in FLOW or not node.inside or node.linked == node.size
 
-    @staticmethod
-    def gone(node: Node, top: Node, whole: int) -> bool:
-        """True for elements of a region that are not main text by tag or name."""
+    def gone(self, node: Node, top: Node, whole: int) -> bool:
+        """True for elements of a region that are not main text by tag or name; without marks only what shows no text goes."""
+        if not self.marks:
+            return node.tag in UNSEEN
         if node.tag in DROPPED or node.tag == "header" and not node.inside:
             return not (node.tag == "form" and (node.holds or 2 * node.size > whole))
         name = named(node)
@@ -254,7 +257,7 @@ class Page:
             elif node is top or not self.gone(node, top, whole):
                 if node.tag == "br":
                     run.append(" ")
-                if node.tag in BLOCK or node is top:
+                if node.tag in CLOSES_P or node is top:
                     close()
                     stack.append((inner,))
                     if self.may_be_template(node, whole):
@@ -287,7 +290,7 @@ def host(url: F.Column) -> F.Column:
 _READ = "id {id}, url string, page long, content long, blocks array<string>, at array<int>, nodes array<long>, parents array<int>, hashes array<long>"
 
 
-def read_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+def read_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str, marks: bool = True) -> DataFrame:
     """Every row of pages read once: its blocks, and the hashes of its subtrees, which differ by host; a page without a host has none."""
     chosen = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
 
@@ -297,7 +300,7 @@ def read_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Da
             out: dict[str, list] = {k: [] for k in ("page", "content", "blocks", "at", "nodes", "parents", "hashes")}
             for name, html in zip(batch.column(2), batch.column(3)):
                 name, html = name.as_py(), html.as_py() or ""
-                p, salt = Page(html), np.uint64(xxh64_intdigest(name or ""))
+                p, salt = Page(html, marks), np.uint64(xxh64_intdigest(name or ""))
                 raw = html.encode("utf-8", "surrogatepass")
                 out["page"].append(xxh64_intdigest(raw, int(salt)))
                 out["content"].append(xxh64_intdigest("\n".join(p.blocks).encode("utf-8", "surrogatepass")))
@@ -319,7 +322,7 @@ def templates(read: DataFrame) -> DataFrame:
     return held.groupBy("hash").agg(F.count("*").alias("k")).where(F.col("k") >= PAGES).select("hash")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", removal: bool = True) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", removal: bool = True, marks: bool = True) -> DataFrame:
     """(id_col, url_col, text, n_chars, n_template) for every row of pages; n_template counts the page's subtrees that its host repeats.
 
     A null or empty page, and one without main text, has an empty text. Pages
@@ -327,9 +330,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     kept; pages of the same main text count once for their host's templates.
     Very long and very deep pages are read whole, without recursion. Columns
     beside the three are ignored, whatever their names. An empty table gives an
-    empty result. With removal=False no template is deleted.
+    empty result. With removal=False no template is deleted; with marks=False
+    tags and names say nothing of what is main text, and templates have to find it.
     """
-    read = read_pages(pages, id_col, url_col, html_col)
+    read = read_pages(pages, id_col, url_col, html_col, marks)
     found = stored(templates(read), "html-templates")
     n = found.count() if removal else 0
     if n <= HELD:
