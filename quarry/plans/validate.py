@@ -58,30 +58,24 @@ def _errors(v: Column, of: Column, schema: Mapping[str, Any], path: Column) -> C
     return F.when(~_accepted(of, expected), wrong(expected)).otherwise(F.coalesce(below, none))
 
 
-def violations(value: Any, schema: Mapping[str, Any]) -> list[str]:
+def violations(value: Any, schema: Mapping[str, Any], path: str = "$") -> list[str]:
     """errors() of one Python value, for schemas that come as rows, where errors() needs one schema for all."""
-    out: list[str] = []
-    todo: list[tuple] = [("$", value, schema)]
-    while todo:
-        path, found, rule = todo.pop()
-        if isinstance(rule, str):
-            out.append(rule)
-            continue
-        own, expected = json_kind(found), rule.get("type")
-        names = expected if isinstance(expected, list) else [expected]
-        holds = expected is None or any(n not in _KNOWN or n == own or (n, own) == ("number", "integer") for n in names)
-        fields = expected == "object" or "properties" in rule
-        if not holds or fields and own != "object":
-            out.append(f"{path}: expected {expected if not holds else 'object'}, got {_PYTHON[own]}")
-            continue
-        below: list[tuple] = []
-        if fields:
-            below += [(path, None, f"{path}.{name}: required field missing") for name in rule.get("required", ()) if name not in found]
-            below += [(f"{path}.{name}", found[name], inner) for name, inner in rule.get("properties", {}).items() if name in found]
-        if expected == "array" and rule.get("items"):
-            below += [(f"{path}[{k}]", x, rule["items"]) for k, x in enumerate(found)]
-        todo.extend(reversed(below))
-    return out
+    own, expected = json_kind(value), schema.get("type")
+    allowed = set(expected) if isinstance(expected, list) else {expected}
+    known = expected is not None and allowed <= _KNOWN
+    if known and own not in allowed and not (own == "integer" and "number" in allowed):
+        return [f"{path}: expected {expected}, got {_PYTHON[own]}"]
+    found: list[str] = []
+    if expected == "object" or "properties" in schema:
+        if own != "object":
+            return [f"{path}: expected object, got {_PYTHON[own]}"]
+        found += [f"{path}.{name}: required field missing" for name in schema.get("required", ()) if name not in value]
+        for name, inner in schema.get("properties", {}).items():
+            found += violations(value[name], inner, f"{path}.{name}") if name in value else []
+    if expected == "array" and schema.get("items"):
+        for k, item in enumerate(value):
+            found += violations(item, schema["items"], f"{path}[{k}]")
+    return found
 
 
 def quoted(s: Column) -> Column:

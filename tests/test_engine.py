@@ -7,7 +7,7 @@ from conftest import SF
 from oracle import compare
 from pyspark.sql import functions as F
 
-from quarry import queries
+from quarry import queries, queries_calls  # noqa: F401  the second adds to the first's queries
 from quarry.functions import payload, text
 from quarry.operators import chunking, extraction, routing
 from quarry.plans import schema, validate
