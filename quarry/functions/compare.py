@@ -21,15 +21,20 @@ _ENDS = "array<struct<unit:string,p:string,g:string>>"
 
 
 def _facts(text: Column) -> Column:
-    """struct (words, number, day) of a JSON text, as far as it has them; the words of null are none."""
-    is_text, content = text.startswith('"'), F.coalesce(F.get(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>"), 0), F.lit("None"))
-    plain = let(content, spaced)
+    """struct (words, number, day) of a JSON text, as far as it has them; the words of null are none.
 
-    def of(words: Column) -> Column:
-        number = F.when(text.rlike("^[-0-9]"), text.try_cast("double")).when(~text.rlike("^[tfn]") & words.rlike("[0-9]"), numeric(words))
-        return F.struct(F.lower(words).alias("words"), number.alias("number"), F.when(is_text, dated(words)).alias("day"))
+    What most texts don't need is looked for before it is done: escapes to read, white space to join, digits of a date.
+    """
+    is_text = text.startswith('"')
+    read = F.coalesce(F.get(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>"), 0), F.lit("None"))
+    content = F.when(is_text & ~text.contains("\\"), F.substr(text, F.lit(2), F.length(text) - 2)).when(text.rlike("^-?[0-9]{1,18}$"), text).otherwise(read)
+    plain = let(content, lambda c: F.when(c.rlike(r"(?U)\s"), spaced(c)).otherwise(c))
+
+    def of(words: Column, digits: Column) -> Column:
+        number = F.when(text.rlike("^[-0-9]"), text.try_cast("double")).when(digits & ~text.rlike("^[tfn]"), numeric(words))
+        return F.struct(F.lower(words).alias("words"), number.alias("number"), F.when(is_text & digits, dated(words)).alias("day"))
 
-    return let(plain, of)
+    return let(let(plain, lambda words: F.struct(words.alias("words"), words.rlike("[0-9]").alias("digits"))), lambda x: of(x["words"], x["digits"]))
 
 
 def _equal(end: Column) -> Column:
@@ -80,9 +85,12 @@ def json_match(predicted: Column | str, gold: Column | str, depth: int = DEPTH)
 
     Members that only the prediction has cost nothing, but an empty gold object matches an empty one only, outside lists.
     """
-    p, g = _columns(predicted, gold)
-    found = _ends(p, g, F.lit(""), F.lit(False), depth)
-    return F.when(p.isNotNull() & g.isNotNull(), F.forall(found, _equal))
+    return let(F.struct(*[c.alias(name) for name, c in zip("pg", _columns(predicted, gold))]), lambda s: variant_match(s["p"], s["g"], depth))
+
+
+def variant_match(p: Column, g: Column, depth: int = DEPTH) -> Column:
+    """json_match() of two variants."""
+    return F.when(p.isNotNull() & g.isNotNull(), F.forall(_ends(p, g, F.lit(""), F.lit(False), depth), _equal))
 
 
 def json_alignment(predicted: Column | str, gold: Column | str, depth: int = DEPTH) -> Column:

@@ -4,22 +4,27 @@ from __future__ import annotations
 
 import json
 from datetime import datetime, timezone
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from quarry.operators.evaluation import METRICS, engine_summary, field_scores
+from quarry.functions.compare import variant_match
+from quarry.operators.evaluation import engine_summary, map_scores
 from quarry.plans.validate import type_share
-from quarry.sources.files import json_fields, read_evaluation, require_object
+from quarry.sources.files import members, read_evaluation, require_object
 
-KEYS = ["engine", "name"]
+
+@lru_cache(maxsize=256)
+def _read_schema(text: str) -> dict:
+    return json.loads(text)
 
 
 @F.pandas_udf(DoubleType())
 def _type_correctness(predicted: pd.Series, schema: pd.Series) -> pd.Series:
-    return pd.Series([1.0 if s is None else type_share(json.loads(p), json.loads(s)) for p, s in zip(predicted, schema)])
+    return pd.Series([1.0 if s is None else type_share(json.loads(p), _read_schema(s)) for p, s in zip(predicted, schema)])
 
 
 def score_pairs(pairs: DataFrame) -> DataFrame:
@@ -28,11 +33,9 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     type_correctness is 1 where schema is null. A predicted or gold text that is
     no JSON object is an error. error is always null.
     """
-    pairs = pairs.withColumn("predicted", require_object("predicted")).withColumn("gold", require_object("gold"))
-    scored = field_scores(json_fields(pairs, "predicted", KEYS, as_json=True), json_fields(pairs, "gold", KEYS, as_json=True), KEYS, nested=True)
-    # without fields on either side all is right, and nothing is made up
-    whole = [F.coalesce(m, F.lit(0.0 if m == "hallucination_rate" else 1.0)).alias(m) for m in METRICS]
-    return pairs.join(scored, KEYS, "left").select("engine", F.col("name").alias("document"), *whole, _type_correctness("predicted", "schema").alias("type_correctness"), F.lit(None).cast("string").alias("error"))
+    read = pairs.withColumn("predicted", require_object("predicted")).withColumn("gold", require_object("gold"))
+    read = read.withColumn("scores", map_scores(members("predicted"), members("gold"), variant_match))
+    return read.select("engine", F.col("name").alias("document"), "scores.*", _type_correctness("predicted", "schema").alias("type_correctness"), F.lit(None).cast("string").alias("error"))
 
 
 def score_folder(spark: SparkSession, path: str, engines: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.payload import parse_object
+from quarry.functions.payload import strict_json
+from quarry.functions.text import let
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -59,18 +60,26 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return part("schema").join(part("gold"), "name").join(first, "name")
 
 
+def members(payload: Column | str) -> Column:
+    """map<string, variant> of the members of a JSON object's text; null for what is none."""
+    return F.try_parse_json(payload).try_cast("map<string,variant>")
+
+
 def json_fields(df: DataFrame, payload: str, keys: list[str], as_json: bool = False) -> DataFrame:
     """(*keys, field, value) of the members of a JSON object column, strings without quotes unless as_json; JSON null is null."""
-    members = F.try_parse_json(payload).try_cast("map<string,variant>")
-    at = df.select(*keys, F.explode(members).alias("field", "v"))
+    at = df.select(*keys, F.explode(members(payload)).alias("field", "v"))
     value = F.to_json("v") if as_json else F.try_variant_get("v", F.lit("$"), "string")
     return at.select(*keys, "field", value.alias("value"))
 
 
 def require_object(text: str) -> Column:
     """A JSON text that must be an object: an error for any other."""
-    found = parse_object(F.col(text))
-    return F.coalesce(F.when(found == F.trim(text), found), F.when(F.col(text).isNotNull(), F.raise_error(F.concat(F.lit("Expected a JSON object: "), F.left(F.col(text), F.lit(80))))))
+
+    def checked(t: Column) -> Column:
+        found = F.when(t.startswith("{") & t.endswith("}"), strict_json(t))
+        return F.coalesce(found, F.when(t.isNotNull(), F.raise_error(F.concat(F.lit("Expected a JSON object: "), F.left(F.col(text), F.lit(80))))))
+
+    return let(F.trim(text), checked)
 
 
 def write_results(df: DataFrame, path: str, form: str = "json") -> None:
