@@ -22,8 +22,11 @@ from uuid import uuid4
 import pyarrow as pa
 from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quarry.sources.files import shared_folder
+
 #: The answers' columns: the answer as JSON text or as the model's own text, or the error.
 ANSWER = "answer string, error_type string, error string"
 #: How an answer came about: rows of its batch, and their padded tokens.
@@ -31,6 +34,9 @@ BATCH = ", batch_rows int, batch_tokens long"
 #: Rows and characters that a worker holds to form batches of, at most; a longer text is held alone.
 WINDOW_ROWS, WINDOW_CHARACTERS = 2048, 16_000_000
 
+#: Bytes of text that a task of a rate limit is dealt in a round, and rows that a file holds on the way there, at most.
+ROUND_BYTES, ROUND_ROWS = 128_000_000, 10_000
+
 #: The models that this worker process has built, by key.
 _models: dict[str, Callable[[list[str]], list]] = {}
 
@@ -181,16 +187,21 @@ class Limit:
 def limited(df: DataFrame, call: Callable[[str], Any], limit: Limit, text: str = "text", tasks: int | None = None, tokens: Callable[[str], int] = estimated_tokens) -> DataFrame:
     """df with answer, error_type and error of call(text), plain or awaitable, all tasks together within the limit.
 
-    The rows are dealt to tasks of a barrier stage, as many as the cluster runs at
-    once at most. In every period they tell each other what they would ask next
+    The rows are stored in the shared folder and dealt in rounds of ROUND_BYTES a
+    task, so that what a task reads is bounded however many rows there are. A
+    round is a job of one barrier stage, of as many tasks as the cluster runs at
+    once at most, and begins when the last period of the round before has ended;
+    its answers are stored. So all calls are made when limited() is called, once,
+    and not again by uses of the result. In every period they tell each other what they would ask next
     and take the slots of one schedule; slot k begins k / requests of a period
     after its start, so that no more than limit.requests calls begin in any
     stretch of a period's length. A call that takes longer runs on while others
     begin; a period's calls end before the next is agreed on. A null text is not
-    asked for. A lost executor repeats the stage, as barrier stages do; behind a
+    asked for. A lost executor repeats the round, as barrier stages do; behind a
     ledger (extraction.answered) no finished call is repeated.
     """
-    most = df.sparkSession.sparkContext.defaultParallelism
+    spark, kind = df.sparkSession, _typed(df, ANSWER)
+    most = spark.sparkContext.defaultParallelism
     n = max(1, min(tasks or most, most))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +230,34 @@ def limited(df: DataFrame, call: Callable[[str], Any], limit: Limit, text: str =
                 if any(len(w) for _, w in everyone):
                     time.sleep(max(0.0, began + limit.period - time.monotonic()))
 
-    return df.repartition(n).mapInArrow(each, _typed(df, ANSWER), barrier=True)
+    folder = shared_folder(spark)
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(at)
+    system.deleteOnExit(at)
+    df.write.option("maxRecordsPerFile", ROUND_ROWS).parquet(f"{folder}/asked")
+    asked = spark.read.schema(df.schema).parquet(f"{folder}/asked")
+    name = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1)
+    sizes = asked.groupBy(name.alias("file")).agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).orderBy("file").collect()
+    for files in _rounds([tuple(r) for r in sizes], n * ROUND_BYTES):
+        dealt = spark.read.schema(df.schema).parquet(*[f"{folder}/asked/{f}" for f in files]).repartition(n)
+        dealt.mapInArrow(each, kind, barrier=True).write.mode("append").parquet(f"{folder}/answered")
+    system.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/asked"), True)
+    return spark.read.schema(kind).parquet(f"{folder}/answered") if sizes else spark.createDataFrame([], kind)
+
+
+def _rounds(sizes: list[tuple[str, int]], most: int) -> Iterator[list[str]]:
+    """Files of (name, bytes) in order, as many at once as hold at most so many bytes; a larger one alone."""
+    held: list[str] = []
+    total = 0
+    for name, size in sizes:
+        if held and total + size > most:
+            yield held
+            held, total = [], 0
+        held.append(name)
+        total += size
+    if held:
+        yield held
 
 
 def _pending(batches: Iterator[pa.RecordBatch], text: str, tokens: Callable[[str], int]) -> Iterator[tuple]:
