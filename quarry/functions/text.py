@@ -73,7 +73,10 @@ def values_match(predicted: Column, gold: Column) -> Column:
     """
 
     def facts(s: Column) -> Column:
-        return let(spaced(s), lambda t: F.struct(dated(t).alias("day"), parse_number(t).alias("number"), F.lower(t).alias("words")))
+        # a date and a number have digits
+        plain = F.when(s.rlike(r"(?U)\s"), spaced(s)).otherwise(s)
+        read = let(plain, lambda t: F.struct(t.alias("t"), t.rlike("[0-9]").alias("digits")))
+        return let(read, lambda x: F.struct(F.when(x["digits"], dated(x["t"])).alias("day"), F.when(x["digits"], numeric(x["t"])).alias("number"), F.lower(x["t"]).alias("words")))
 
     def same(a: Column, b: Column) -> Column:
         return (F.when(a["day"].isNotNull() & b["day"].isNotNull(), a["day"] == b["day"])

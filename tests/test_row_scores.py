@@ -2,8 +2,10 @@
 
 import json
 
+from quarry import queries
 from quarry.operators import evaluation, runner
 from quarry.sources.files import json_fields
+from conftest import SF
 
 
 def test_scores_of_pairs_are_those_of_the_join_without_one(spark):
@@ -22,3 +24,8 @@ def test_pairs_of_one_name_are_scored_each(spark):
     rows = [("e", "n", '{"a": 1}', '{"a": 1}', None), ("e", "n", '{"a": 2}', '{"a": 1}', None), ("e", None, '{"a": 2}', '{"a": 1}', None)]
     pairs = spark.createDataFrame(rows, "engine string, name string, predicted string, gold string, schema string")
     assert sorted(r.field_accuracy for r in runner.score_pairs(pairs).collect()) == [0.0, 0.0, 1.0]
+
+
+def test_orders_are_scored_within_their_row(spark):
+    for name in ("field_accuracy", "per_field_prf", "hallucination_rate"):
+        assert "Exchange" not in queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
